@@ -315,9 +315,6 @@ def fold_block(nodes: list) -> list:
                 value = Const(_text(value.value))
                 if not value.value:
                     continue
-                if out and isinstance(out[-1], Write) and isinstance(out[-1].value, Const):
-                    out[-1] = Write(Const(out[-1].value.value + value.value))
-                    continue
             out.append(Write(value))
         elif isinstance(node, Loop):
             out.append(Loop(node.name, fold(node.over), fold_block(node.body)))
@@ -336,6 +333,16 @@ def fold_block(nodes: list) -> list:
                     continue
                 cases.append((test, fold_block(body)))
             out += [Branch(cases, fold_block(otherwise))] if cases else fold_block(otherwise)
+    return _joined(out)
+
+
+def _joined(nodes: list) -> list:
+    out: list = []
+    for node in nodes:
+        if out and all(isinstance(x, Write) and isinstance(x.value, Const) for x in (out[-1], node)):
+            out[-1] = Write(Const(out[-1].value.value + node.value.value))
+        else:
+            out.append(node)
     return out
 
 
