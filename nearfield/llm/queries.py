@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import chat_format, decontaminate, html_text, language_id, piece_codec, secret_scan, token_counts
+from nearfield.llm import chat_format, decontaminate, embedding_dedup, html_text, language_id, ngram_forest, piece_codec, secret_scan, token_counts
 from nearfield.llm.common import table
 
 #: A conversation that says control strings.
@@ -20,6 +20,14 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_forest.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_held_out(table(spark, sf_dir, "documents"))
 
@@ -63,10 +71,37 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)
 """
 
+#: All pairs of a label; components by the smallest id that links reach.
+OP3_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT *, sqrt(list_inner_product(e, e)) AS norm FROM v),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(deg.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id <= coalesce(c, vec_id) AS kept
+FROM embeddings LEFT JOIN low ON low.a = vec_id LEFT JOIN deg ON deg.a = vec_id
+"""
+#: All pairs that share a shingle, by exact sets of shingles.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM w WHERE len(w) > 0) GROUP BY ALL),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b, c = x.n AND c = y.n AS same FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS n, min(CASE WHEN same THEN b END) AS m FROM links GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(m, doc_id)) AS class_id, CAST(coalesce(deg.n, 0) AS BIGINT) AS n_links, least(doc_id, coalesce(c, doc_id)) AS component_id, doc_id <= coalesce(c, doc_id) AS kept
+FROM documents LEFT JOIN low ON low.a = doc_id LEFT JOIN deg ON deg.a = doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op5_language_id, op6_chat_formatting, op7_token_counts, op8_sentencepiece, op9_decontamination, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard, op3_embedding_dedup, op5_language_id, op6_chat_formatting, op7_token_counts, op8_sentencepiece, op9_decontamination, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": OP9_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op9_decontamination": OP9_SQL}
