@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import checkpointed
 
 WINDOW = 10
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bytes of windows that are broadcast at a time; more are joined in several blocks, each against all documents.
 BLOCK_BYTES = 8 << 20
 
@@ -26,7 +26,7 @@ BLOCK_BYTES = 8 << 20
 def words(text: Column) -> Column:
     """The words of a text, A-Z in lower case; none for null."""
     lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lower, BETWEEN, -1), "")
 
 
 def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
