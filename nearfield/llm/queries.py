@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import chat_format, decontaminate, embedding_dedup, html_text, language_id, ngram_forest, piece_codec, secret_scan, token_counts
+from nearfield.llm import chat_format, decontaminate, embedding_dedup, html_text, language_id, ngram_forest, piece_codec, secret_scan, suffix_dedup, token_counts
 from nearfield.llm.common import table
 
 #: A conversation that says control strings.
@@ -28,6 +28,10 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_held_out(table(spark, sf_dir, "documents"))
 
@@ -100,7 +104,7 @@ FROM documents LEFT JOIN low ON low.a = doc_id LEFT JOIN deg ON deg.a = doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard, op3_embedding_dedup, op5_language_id, op6_chat_formatting, op7_token_counts, op8_sentencepiece, op9_decontamination, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard, op3_embedding_dedup, op4_suffix_dedup, op5_language_id, op6_chat_formatting, op7_token_counts, op8_sentencepiece, op9_decontamination, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
