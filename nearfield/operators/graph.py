@@ -89,33 +89,56 @@ def build_layer(space: Space, x: np.ndarray, rows: np.ndarray, M: int, most: int
 
 
 def _connect(space: Space, x: np.ndarray, rows: np.ndarray, links: dict[int, list], most: int) -> None:
-    """Links nodes that can't be reached from the first, each to its nearest reachable node, in both directions."""
-    reached: set[int] = set()
+    """Gives every node an inbound link, and a way from the first node.
 
-    def spread(start: int) -> None:
+    A node that lacks one is linked from its nearest node with room; where none
+    has room, from the nearest one that can spare a link to a node with others.
+    """
+    inbound = dict.fromkeys(links, 0)
+    for out in links.values():
+        for o in out:
+            inbound[int(o)] += 1
+
+    def spread(start: int, reached: set[int]) -> None:
         todo = [start]
         reached.add(start)
         while todo:
-            for o in links[todo.pop()]:
-                if int(o) not in reached:
-                    reached.add(int(o))
-                    todo.append(int(o))
-
-    spread(int(rows[0]))
+            for o in map(int, links[todo.pop()]):
+                if o not in reached:
+                    reached.add(o)
+                    todo.append(o)
+
+    def join(r: int, others: list[int]) -> bool:
+        every = np.array(others, np.int64)
+        full = np.array([len(links[o]) >= most for o in others])
+        for o in every[np.lexsort((every, space.rows(x[r][None, :], x[every]), full))].tolist():
+            if len(links[o]) >= most:
+                spare = next((t for t in reversed(links[o]) if inbound[int(t)] > 1), None)
+                if spare is None:
+                    continue
+                links[o].remove(spare)
+                inbound[int(spare)] -= 1
+            links[o].append(r)
+            inbound[r] += 1
+            if o not in links[r] and len(links[r]) < most:
+                links[r].append(o)
+                inbound[o] += 1
+            return True
+        return False
+
+    # a link that was spared may have been another node's only way
+    for _ in range(4):
+        reached: set[int] = set()
+        spread(int(rows[0]), reached)
+        apart = [r for r in map(int, rows) if r not in reached]
+        if not apart:
+            break
+        for r in apart:
+            if r not in reached and join(r, sorted(reached)):
+                spread(r, reached)
     for r in map(int, rows):
-        if r in reached:
-            continue
-        # a full node can't take another link; r keeps room because it is linked first
-        free = np.array([o for o in sorted(reached) if len(links[o]) < most], np.int64)
-        if not len(free):
-            free = np.array(sorted(reached), np.int64)
-        o = int(free[np.lexsort((free, space.rows(x[r][None, :], x[free])))[0]])
-        if len(links[o]) >= most:
-            links[o].pop()
-        links[o].append(r)
-        if o not in links[r] and len(links[r]) < most:
-            links[r].append(o)
-        spread(r)
+        if not inbound[r]:
+            join(r, [o for o in map(int, rows) if o != r])
 
 
 def build_shard(space: Space, ids: np.ndarray, x: np.ndarray, levels: np.ndarray, M: int, ef: int) -> list[list[list[int]]]:
