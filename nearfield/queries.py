@@ -17,8 +17,8 @@ from nearfield.operators.table import VectorTable
 from nearfield.plans import sql
 from nearfield.streaming.vectors import StreamTable
 
-#: Queries are the vectors of the first ids.
-N_QUERIES, K = 20, 10
+#: Queries are all vectors whose id is divisible by this; they are searched among all rows.
+EACH, K = 20, 10
 DIM = 64
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,8 +56,8 @@ def scaled(df: DataFrame) -> DataFrame:
     return df.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 7)))
 
 
-def first_queries(df: DataFrame) -> DataFrame:
-    return exact.as_queries(df.where(F.col("vec_id") < N_QUERIES))
+def query_set(df: DataFrame) -> DataFrame:
+    return exact.as_queries(df.where(F.col("vec_id") % EACH == 0))
 
 
 def as_bytes(df: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ _SCALED = "SELECT * REPLACE (list_transform(embedding, lambda x: x::DOUBLE * (1
 
 def _pairs_sql(rows: str = "SELECT * FROM embeddings", dist: str = _L2, q: str | None = None) -> str:
     """b, q and d(query_id, vec_id, label, dist) of all pairs."""
-    q = q or f"SELECT vec_id AS query_id, embedding AS qv FROM b WHERE vec_id < {N_QUERIES}"
+    q = q or f"SELECT vec_id AS query_id, embedding AS qv FROM b WHERE vec_id % {EACH} = 0"
     return f"WITH b AS ({rows}), q AS ({q}), d AS (SELECT query_id, vec_id, label, {dist.format('qv', 'embedding')} AS dist FROM q, b)"
 
 
@@ -88,7 +88,7 @@ def _top_sql(with_d: str, k: int | None = K, where: str = "true") -> str:
     return f"{with_d} SELECT * FROM ({ranks})" + (f" WHERE rank <= {k}" if k else "")
 
 
-_RAW_QUERIES = f"SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < {N_QUERIES}"
+_RAW_QUERIES = f"SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % {EACH} = 0"
 KNN_L2 = _top_sql(_pairs_sql())
 COSINE = _IP.format(_UNIT.format("qv"), _UNIT.format("embedding"))
 
@@ -98,19 +98,19 @@ COSINE = _IP.format(_UNIT.format("qv"), _UNIT.format("embedding"))
 @registered(KNN_L2)
 def knn_l2(spark, sf_dir):
     b = base(spark, sf_dir)
-    return exact.knn(b, first_queries(b), K)
+    return exact.knn(b, query_set(b), K)
 
 
 @registered(KNN_L2)
 def knn_expression(spark, sf_dir):
     b = base(spark, sf_dir)
-    return exact.knn(b, first_queries(b), K, method="expression")
+    return exact.knn(b, query_set(b), K, method="expression")
 
 
 @registered(KNN_L2)
 def knn_tiles(spark, sf_dir):
     b = base(spark, sf_dir)
-    return exact.knn(b, first_queries(b), K, method="tiles")
+    return exact.knn(b, query_set(b), K, method="tiles")
 
 
 @registered(_top_sql(_pairs_sql(q="SELECT vec_id AS query_id, embedding AS qv FROM b"), 3))
@@ -123,20 +123,20 @@ def knn_blocked(spark, sf_dir):
 @registered(_top_sql(_pairs_sql(_SCALED, _IP)))
 def knn_ip_scaled(spark, sf_dir):
     b = scaled(base(spark, sf_dir))
-    return exact.knn(b, first_queries(b), K, "ip")
+    return exact.knn(b, query_set(b), K, "ip")
 
 
 @registered(_top_sql(_pairs_sql(_SCALED, COSINE)))
 def knn_cosine_scaled(spark, sf_dir):
     b = scaled(base(spark, sf_dir))
-    return exact.knn(b, first_queries(b), K, "cosine")
+    return exact.knn(b, query_set(b), K, "cosine")
 
 
 @registered(_top_sql(_pairs_sql("SELECT * REPLACE (list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 127.5)) AS embedding) FROM embeddings")))
 def knn_bytes(spark, sf_dir):
     """Components of 0 to 255."""
     b = as_bytes(base(spark, sf_dir))
-    return exact.knn(b, first_queries(b), K, "l2_bytes")
+    return exact.knn(b, query_set(b), K, "l2_bytes")
 
 
 @registered(_top_sql(_pairs_sql(dist="list_max(list_transform(list_zip({0}, {1}), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE)))")))
@@ -146,45 +146,45 @@ def knn_custom_space(spark, sf_dir):
 
     largest = Space("linf", lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")))), lambda a, b: abs(a - b).max(-1))
     b = base(spark, sf_dir)
-    return exact.knn(b, first_queries(b), K, largest)
+    return exact.knn(b, query_set(b), K, largest)
 
 
 @registered(_top_sql(_pairs_sql("SELECT * REPLACE (17 + 3 * vec_id AS vec_id) FROM embeddings", q=_RAW_QUERIES)))
 def knn_offset_ids(spark, sf_dir):
     b = base(spark, sf_dir)
-    return exact.knn(b.withColumn("vec_id", 17 + 3 * F.col("vec_id")), first_queries(b), K)
+    return exact.knn(b.withColumn("vec_id", 17 + 3 * F.col("vec_id")), query_set(b), K)
 
 
-@registered(_top_sql(_pairs_sql(), where="vec_id < 5"))
+@registered(_top_sql(_pairs_sql(), where="label = 3 AND vec_id % 97 = 0"))
 def knn_fewer_than_k(spark, sf_dir):
     b = base(spark, sf_dir)
-    return exact.knn(b, first_queries(b), K, where="vec_id < 5")
+    return exact.knn(b, query_set(b), K, where="label = 3 and vec_id % 97 = 0")
 
 
 @registered(_top_sql(_pairs_sql(), where="vec_id % 3 = 0"))
 def knn_filter_mod(spark, sf_dir):
     b = base(spark, sf_dir)
-    return exact.knn(b, first_queries(b), K, where=F.col("vec_id") % 3 == 0)
+    return exact.knn(b, query_set(b), K, where=F.col("vec_id") % 3 == 0)
 
 
 @registered(_top_sql(_pairs_sql(), where="vec_id IN (26, 39, 52, 65)"))
 def knn_filter_set(spark, sf_dir):
     b = base(spark, sf_dir)
     allowed = spark.createDataFrame([(26,), (39,), (52,), (65,)], "vec_id bigint")
-    return exact.knn(b.join(F.broadcast(allowed), "vec_id", "left_semi"), first_queries(b), K)
+    return exact.knn(b.join(F.broadcast(allowed), "vec_id", "left_semi"), query_set(b), K)
 
 
 @registered(_top_sql(_pairs_sql(), where="false"))
 def knn_filter_none(spark, sf_dir):
     b = base(spark, sf_dir)
-    return exact.knn(b, first_queries(b), K, where=F.lit(False))
+    return exact.knn(b, query_set(b), K, where=F.lit(False))
 
 
 @registered(_top_sql(_pairs_sql(), where="label = 3 AND vec_id >= 100"))
 def knn_filter_payload(spark, sf_dir):
     """A predicate on another column than the key."""
     b = base(spark, sf_dir)
-    return exact.knn(b, first_queries(b), K, where="label = 3 and vec_id >= 100")
+    return exact.knn(b, query_set(b), K, where="label = 3 and vec_id >= 100")
 
 
 @registered(f"SELECT query_id, list(vec_id ORDER BY rank) AS ids, list(dist ORDER BY rank) AS dists FROM ({KNN_L2}) GROUP BY query_id")
@@ -206,19 +206,19 @@ def knn_self(spark, sf_dir):
 @registered(_top_sql(_pairs_sql(), 5, "dist <= 1.3"))
 def radius_l2(spark, sf_dir):
     b = base(spark, sf_dir)
-    return exact.radius(b, first_queries(b), 1.3, 5)
+    return exact.radius(b, query_set(b), 1.3, 5)
 
 
 @registered(_top_sql(_pairs_sql(), None, "dist <= 1.5"))
 def radius_all(spark, sf_dir):
     b = base(spark, sf_dir)
-    return exact.radius(b, first_queries(b), 1.5)
+    return exact.radius(b, query_set(b), 1.5)
 
 
 @registered(_top_sql(_pairs_sql(_SCALED, COSINE), None, "dist <= 0.7 AND vec_id % 2 = 0"))
 def radius_cosine_filtered(spark, sf_dir):
     b = scaled(base(spark, sf_dir))
-    return exact.radius(b, first_queries(b), 0.7, space="cosine", where="vec_id % 2 = 0")
+    return exact.radius(b, query_set(b), 0.7, space="cosine", where="vec_id % 2 = 0")
 
 
 def _docs_sql(pairs: str, n: int) -> str:
@@ -231,19 +231,19 @@ FROM d LEFT JOIN c USING (query_id) WHERE cutoff IS NULL OR dist < cutoff"""
 @registered(_docs_sql(_pairs_sql(), 3))
 def top_docs_l2(spark, sf_dir):
     b = base(spark, sf_dir)
-    return exact.top_docs(b, first_queries(b), 3, "label")
+    return exact.top_docs(b, query_set(b), 3, "label")
 
 
 @registered(_docs_sql(_pairs_sql(_SCALED, _IP), 2))
 def top_docs_ip(spark, sf_dir):
     b = scaled(base(spark, sf_dir))
-    return exact.top_docs(b, first_queries(b), 2, "label", "ip")
+    return exact.top_docs(b, query_set(b), 2, "label", "ip")
 
 
 @registered(_docs_sql(_pairs_sql(), 3))
 def top_docs_expression(spark, sf_dir):
     b = base(spark, sf_dir)
-    return exact.top_docs(b, first_queries(b), 3, "label", method="expression")
+    return exact.top_docs(b, query_set(b), 3, "label", method="expression")
 
 
 @registered(f"SELECT query_id, count(DISTINCT label) AS docs FROM ({_docs_sql(_pairs_sql(), 3)}) GROUP BY query_id")
@@ -261,61 +261,65 @@ def _table(df: DataFrame, **options) -> VectorTable:
 @registered(_top_sql(_pairs_sql(), where="vec_id % 5 <> 0"))
 def tombstone_knn(spark, sf_dir):
     b = base(spark, sf_dir)
-    return _table(b).delete(b.where("vec_id % 5 = 0")).knn(first_queries(b), K)
+    return _table(b).delete(b.where("vec_id % 5 = 0")).knn(query_set(b), K)
 
 
 @registered(_top_sql(_pairs_sql(), where="vec_id % 5 <> 0 OR vec_id % 10 = 0"))
 def undelete_knn(spark, sf_dir):
     b = base(spark, sf_dir)
-    return _table(b).delete(b.where("vec_id % 5 = 0")).undelete(b.where("vec_id % 10 = 0")).knn(first_queries(b), K)
+    return _table(b).delete(b.where("vec_id % 5 = 0")).undelete(b.where("vec_id % 10 = 0")).knn(query_set(b), K)
 
 
 _TIMES = "list_transform(embedding, lambda x: (x * CAST({} AS FLOAT))::FLOAT)"
 
 
-@registered(_top_sql(_pairs_sql(f"SELECT * REPLACE (CASE WHEN vec_id % 10 = 0 THEN {_TIMES.format(-1)} ELSE embedding END AS embedding) FROM embeddings UNION ALL SELECT vec_id + 500000, {_TIMES.format(0.5)}, label FROM embeddings WHERE vec_id < 5", q=_RAW_QUERIES)))
+@registered(_top_sql(_pairs_sql(f"SELECT * REPLACE (CASE WHEN vec_id % 10 = 0 THEN {_TIMES.format(-1)} ELSE embedding END AS embedding) FROM embeddings UNION ALL SELECT vec_id + 500000, {_TIMES.format(0.5)}, label FROM embeddings WHERE vec_id % 20 = 0", q=_RAW_QUERIES)))
 def upsert_knn(spark, sf_dir):
-    """New versions of every tenth vector, and five new vectors."""
+    """New versions of every tenth vector, and new vectors."""
     b = base(spark, sf_dir)
-    new = times(b.where("vec_id % 10 = 0"), -1).unionByName(times(b.where("vec_id < 5"), 0.5).withColumn("vec_id", F.col("vec_id") + 500000))
-    return _table(b).upsert(new).knn(first_queries(b), K)
+    new = times(b.where("vec_id % 10 = 0"), -1).unionByName(times(b.where("vec_id % 20 = 0"), 0.5).withColumn("vec_id", F.col("vec_id") + 500000))
+    return _table(b).upsert(new).knn(query_set(b), K)
 
 
-@registered(_top_sql(_pairs_sql(f"SELECT * FROM embeddings WHERE vec_id % 5 <> 0 OR vec_id >= 50 UNION ALL SELECT vec_id + 500000, {_TIMES.format(0.5)}, label FROM embeddings WHERE vec_id < 4", q=_RAW_QUERIES)))
+# Every fifth key is deleted; as many of these as there are new keys, the smallest first, give their places away.
+_PLACES = "SELECT vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings WHERE vec_id % 5 = 0) WHERE n <= (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0)"
+
+
+def _replaced(b: DataFrame) -> VectorTable:
+    new = times(b.where("vec_id % 20 = 0"), 0.5).withColumn("vec_id", F.col("vec_id") + 500000)
+    return _table(b, allow_replace_deleted=True).delete(b.where("vec_id % 5 = 0")).replace_deleted(new)
+
+
+@registered(_top_sql(_pairs_sql(f"SELECT * FROM embeddings WHERE vec_id % 5 <> 0 UNION ALL SELECT vec_id + 500000, {_TIMES.format(0.5)}, label FROM embeddings WHERE vec_id % 20 = 0", q=_RAW_QUERIES)))
 def replace_deleted_knn(spark, sf_dir):
     b = base(spark, sf_dir)
-    new = times(b.where("vec_id < 4"), 0.5).withColumn("vec_id", F.col("vec_id") + 500000)
-    table = _table(b, allow_replace_deleted=True).delete(b.where("vec_id % 5 = 0 and vec_id < 50"))
-    return table.replace_deleted(new).knn(first_queries(b), K)
+    return _replaced(b).knn(query_set(b), K)
 
 
-@registered("SELECT vec_id, false AS deleted FROM embeddings WHERE vec_id % 5 <> 0 OR vec_id >= 50 UNION ALL SELECT vec_id, true FROM embeddings WHERE vec_id % 5 = 0 AND vec_id >= 20 AND vec_id < 50 UNION ALL SELECT vec_id + 500000, false FROM embeddings WHERE vec_id < 4")
+@registered(f"SELECT vec_id, vec_id % 5 = 0 AS deleted FROM embeddings WHERE vec_id NOT IN ({_PLACES}) UNION ALL SELECT vec_id + 500000, false FROM embeddings WHERE vec_id % 20 = 0")
 def replace_deleted_ids(spark, sf_dir):
-    """Four new keys take the places of the four smallest deleted ones."""
-    b = base(spark, sf_dir)
-    new = b.where("vec_id < 4").withColumn("vec_id", F.col("vec_id") + 500000)
-    table = _table(b, allow_replace_deleted=True).delete(b.where("vec_id % 5 = 0 and vec_id < 50"))
-    return table.replace_deleted(new).rows.select("vec_id", "deleted")
+    """Which keys a replacement leaves."""
+    return _replaced(base(spark, sf_dir)).rows.select("vec_id", "deleted")
 
 
 @registered(_top_sql(_pairs_sql(), where="vec_id % 4 <> 0"))
 def remove_knn(spark, sf_dir):
     b = base(spark, sf_dir)
-    return _table(b).remove(b.where("vec_id % 4 = 0").select("vec_id")).knn(first_queries(b), K)
+    return _table(b).remove(b.where("vec_id % 4 = 0").select("vec_id")).knn(query_set(b), K)
 
 
-@registered("SELECT CAST(count(*) AS BIGINT) AS n, CAST(min(vec_id) AS BIGINT) AS lowest, CAST(max(vec_id) AS BIGINT) AS highest FROM (SELECT row_number() OVER () - 1 AS vec_id FROM (SELECT * FROM embeddings UNION ALL SELECT * FROM embeddings WHERE vec_id < 7))")
+@registered("SELECT CAST(count(*) AS BIGINT) AS n, CAST(min(vec_id) AS BIGINT) AS lowest, CAST(max(vec_id) AS BIGINT) AS highest FROM (SELECT row_number() OVER () - 1 AS vec_id FROM (SELECT * FROM embeddings UNION ALL SELECT * FROM embeddings WHERE vec_id % 20 = 0))")
 def add_by_sequence(spark, sf_dir):
     """Ids that follow the table's own sequence, over two batches."""
     b = base(spark, sf_dir)
-    table = VectorTable.create(spark, "l2", DIM).add(b.select("embedding")).add(b.where("vec_id < 7").select("embedding"))
+    table = VectorTable.create(spark, "l2", DIM).add(b.select("embedding")).add(b.where("vec_id % 20 = 0").select("embedding"))
     return table.rows.agg(F.count("*").alias("n"), F.min("vec_id").alias("lowest"), F.max("vec_id").alias("highest"))
 
 
-@registered("SELECT vec_id, embedding, label FROM embeddings WHERE vec_id IN (3, 5, 8, 13)")
+@registered("SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 20 = 0")
 def get_items(spark, sf_dir):
     b = base(spark, sf_dir)
-    return _table(b).get(spark.createDataFrame([(3,), (5,), (8,), (13,)], "vec_id bigint"))
+    return _table(b).get(b.where("vec_id % 20 = 0").select("vec_id"))
 
 
 @registered("SELECT vec_id FROM embeddings WHERE vec_id % 5 <> 0")
@@ -336,7 +340,7 @@ def save_load_knn(spark, sf_dir):
     b = base(spark, sf_dir)
     path = shared_folder(spark, "table")
     _table(b).delete(b.where("vec_id % 5 = 0")).save(path)
-    return VectorTable.load(spark, path).knn(first_queries(b), K)
+    return VectorTable.load(spark, path).knn(query_set(b), K)
 
 
 # --- evaluation -----------------------------------------------------------
@@ -351,7 +355,7 @@ def recall_exact_vs_blocked(spark, sf_dir):
 def recall_of_half(spark, sf_dir):
     """Recall of each query when every other vector is refused."""
     b = base(spark, sf_dir)
-    return evaluate.recall(exact.knn(b, first_queries(b), K, where="vec_id % 2 = 0"), knn_l2(spark, sf_dir), K)
+    return evaluate.recall(exact.knn(b, query_set(b), K, where="vec_id % 2 = 0"), knn_l2(spark, sf_dir), K)
 
 
 # --- approximate search ---------------------------------------------------
@@ -361,13 +365,13 @@ def recall_of_half(spark, sf_dir):
 def ivf_all_cells(spark, sf_dir):
     """With every cell probed, the result is exact."""
     b = base(spark, sf_dir)
-    return CellIndex.build(b, 16).knn(first_queries(b), K, 16)
+    return CellIndex.build(b, 16).knn(query_set(b), K, 16)
 
 
 @registered()
 def ivf_recall(spark, sf_dir):
     b = base(spark, sf_dir)
-    found = CellIndex.build(b, 16).knn(first_queries(b), K, 8)
+    found = CellIndex.build(b, 16).knn(query_set(b), K, 12)
     return evaluate.mean_recall(found, knn_l2(spark, sf_dir), K)
 
 
@@ -378,32 +382,32 @@ def _graph(b: DataFrame, **options) -> GraphIndex:
 @registered()
 def graph_recall(spark, sf_dir):
     b = base(spark, sf_dir)
-    return evaluate.mean_recall(_graph(b).knn(first_queries(b), K, 100), knn_l2(spark, sf_dir), K)
+    return evaluate.mean_recall(_graph(b).knn(query_set(b), K, 100), knn_l2(spark, sf_dir), K)
 
 
 @registered()
 def graph_knn(spark, sf_dir):
     """Neighbours with the hops and distances that they took."""
     b = base(spark, sf_dir)
-    return _graph(b).knn(first_queries(b), K, 60)
+    return _graph(b).knn(query_set(b), K, 60)
 
 
 @registered()
 def graph_filtered_knn(spark, sf_dir):
     b = base(spark, sf_dir)
-    return _graph(b).knn(first_queries(b), K, 60, where="vec_id % 3 = 0")
+    return _graph(b).knn(query_set(b), K, 60, where="vec_id % 3 = 0")
 
 
 @registered()
 def graph_radius(spark, sf_dir):
     b = base(spark, sf_dir)
-    return _graph(b).radius(first_queries(b), 1.3, 100, 5)
+    return _graph(b).radius(query_set(b), 1.3, 100, 5)
 
 
 @registered()
 def graph_top_docs(spark, sf_dir):
     b = base(spark, sf_dir)
-    return _graph(b).top_docs(first_queries(b), 3, "label")
+    return _graph(b).top_docs(query_set(b), 3, "label")
 
 
 @registered()
@@ -419,20 +423,20 @@ def normalize_vectors(spark, sf_dir):
     return scaled(base(spark, sf_dir)).select("vec_id", normalize(F.col("embedding")).alias("unit"))
 
 
-@registered(f"{_pairs_sql(_SCALED, _L2, f'SELECT vec_id AS query_id, embedding AS qv FROM b WHERE vec_id < 5')}, i AS (SELECT query_id, vec_id, {_IP.format('qv', 'embedding')} AS ip, {COSINE} AS cosine FROM q, b) SELECT query_id, vec_id, dist AS l2, ip, cosine FROM d JOIN i USING (query_id, vec_id)")
+@registered(f"{_pairs_sql(_SCALED, _L2, f'SELECT vec_id AS query_id, embedding AS qv FROM b WHERE vec_id % 20 = 0')}, i AS (SELECT query_id, vec_id, {_IP.format('qv', 'embedding')} AS ip, {COSINE} AS cosine FROM q, b) SELECT query_id, vec_id, dist AS l2, ip, cosine FROM d JOIN i USING (query_id, vec_id)")
 def pairwise_distance(spark, sf_dir):
     b = scaled(base(spark, sf_dir))
-    q = exact.as_queries(b.where("vec_id < 5"))
+    q = query_set(b)
     pair = b.select("vec_id", "embedding").crossJoin(F.broadcast(q))
     return pair.select("query_id", "vec_id", *(SPACES[s].distance(F.col("qv"), F.col("embedding")).alias(s) for s in ("l2", "ip", "cosine")))
 
 
-@registered(f"SELECT vec_id, query_id, {_L2.format('qv', 'embedding')} AS l2, {_IP.format('qv', 'embedding')} AS ip FROM (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 3), embeddings")
+@registered(f"SELECT vec_id, query_id, {_L2.format('qv', 'embedding')} AS l2, {_IP.format('qv', 'embedding')} AS ip FROM (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0), embeddings")
 def sql_functions(spark, sf_dir):
     sql.register(spark, nearfield_vectors=base(spark, sf_dir))
     return spark.sql(
         "SELECT b.vec_id, q.vec_id AS query_id, l2_distance(q.embedding, b.embedding) AS l2, ip_distance(q.embedding, b.embedding) AS ip "
-        "FROM (SELECT * FROM nearfield_vectors WHERE vec_id < 3) q CROSS JOIN nearfield_vectors b"
+        "FROM (SELECT * FROM nearfield_vectors WHERE vec_id % 20 = 0) q CROSS JOIN nearfield_vectors b"
     )
 
 
@@ -444,4 +448,4 @@ def stream_upsert_knn(spark, sf_dir):
     batches = [b.withColumn("op", F.lit("upsert")), times(b.where("vec_id % 10 = 0"), -1).withColumn("op", F.lit("upsert")), b.where("vec_id % 7 = 1").withColumn("op", F.lit("delete"))]
     for n in (0, 1, 1, 2):
         table.apply(batches[n], n)
-    return table.current().knn(first_queries(b), K)
+    return table.current().knn(query_set(b), K)

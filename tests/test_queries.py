@@ -13,7 +13,7 @@ def test_query_equals_its_sql(spark, name):
     assert_equal_rows(spark, queries.queries()[name], queries.oracle_sql()[name], SF)
 
 
-@pytest.mark.parametrize(("name", "least"), [("ivf_recall", 0.6), ("graph_recall", 0.95)])
+@pytest.mark.parametrize(("name", "least"), [("ivf_recall", 0.9), ("graph_recall", 0.95)])
 def test_recall(spark, name, least):
     assert queries.queries()[name](spark, SF).first()["recall"] > least
 
