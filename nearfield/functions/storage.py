@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -15,3 +15,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         folder = tempfile.mkdtemp(prefix="nearfield-")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder}/{name}-{uuid.uuid4()}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` as rows in the shared checkpoint folder: its partitions and their order no longer change."""
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="nearfield-"))
+    return df.checkpoint()

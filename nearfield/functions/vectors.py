@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nearfield.functions.storage import materialized
+
 NUMBERS = (T.FloatType, T.DoubleType, T.ShortType, T.IntegerType, T.LongType, T.ByteType)
 
 
@@ -79,18 +81,20 @@ def to_arrays(found: DataFrame, key: str = "vec_id") -> DataFrame:
 def with_sequence(df: DataFrame, start: int, name: str = "vec_id") -> DataFrame:
     """``df`` with consecutive numbers from ``start``, in the order of its partitions.
 
-    Two passes: rows are counted by partition, then numbered within each; the
-    counts (one number a partition) come to the driver. Cut the lineage of ``df``
-    first if its rows may come in another order when a task runs again.
+    The rows are written to the shared checkpoint folder first, with their
+    partition, so that running a task again can't number them otherwise. They are
+    then counted by partition and numbered within each; the counts (one number a
+    partition) come to the driver.
     """
-    counts = {r["p"]: r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().withColumnRenamed("count", "n").collect()}
+    df = materialized(df.withColumn("_p", F.spark_partition_id()))
+    counts = {r["_p"]: r["n"] for r in df.groupBy("_p").agg(F.count("*").alias("n")).collect()}
     begins, at = {}, start
     for p in sorted(counts):
         begins[p], at = at, at + counts[p]
-    schema = T.StructType([T.StructField(name, T.LongType(), False), *(f for f in df.schema if f.name != name)])
-    rest = [f.name for f in df.schema if f.name != name]
+    schema = T.StructType([T.StructField(name, T.LongType(), False), *(f for f in df.schema if f.name not in (name, "_p"))])
+    rest = [f.name for f in df.schema if f.name not in (name, "_p")]
 
-    # the partition is told by a column: in a union, the number of a task is not that of the partition
+    # the partition is told by its column: in a union, a task's number is another
     def number(batches):
         n = None
         for b in batches:
@@ -100,4 +104,4 @@ def with_sequence(df: DataFrame, start: int, name: str = "vec_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, n + b.num_rows)), *(b.column(c) for c in rest)], [name, *rest])
             n += b.num_rows
 
-    return df.withColumn("_p", F.spark_partition_id()).mapInArrow(number, schema)
+    return df.mapInArrow(number, schema)

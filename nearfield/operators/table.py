@@ -50,8 +50,8 @@ class Parameters:
 class VectorTable:
     """Rows of ``vec_id, embedding, deleted`` and any payload columns, with parameters."""
 
-    def __init__(self, rows: DataFrame, parameters: Parameters) -> None:
-        self.rows, self.parameters = rows, parameters
+    def __init__(self, rows: DataFrame, parameters: Parameters, path: str | None = None) -> None:
+        self.rows, self.parameters, self.path = rows, parameters, path
 
     # --- making -----------------------------------------------------------
 
@@ -72,7 +72,18 @@ class VectorTable:
         return VectorTable(self.rows if rows is None else rows, replace(self.parameters, **changes))
 
     def clone(self) -> VectorTable:
-        return VectorTable(self.rows, self.parameters)
+        return VectorTable(self.rows, self.parameters, self.path)
+
+    def __getstate__(self) -> dict:
+        """A table that was loaded is pickled as its path; others have to be saved first."""
+        if self.path is None:
+            raise TableError("only a loaded table can be pickled: save and load it first")
+        return {"path": self.path, "version": FORMAT}
+
+    def __setstate__(self, state: dict) -> None:
+        if set(state) != {"path", "version"} or state["version"] != FORMAT:
+            raise TableError("this isn't the state of a table")
+        self.__dict__.update(VectorTable.load(SparkSession.active(), state["path"]).__dict__)
 
     # --- reading ----------------------------------------------------------
 
@@ -248,7 +259,7 @@ class VectorTable:
         n = meta.pop("rows", None)
         if meta.get("version") != FORMAT or rows.count() != n or not {"vec_id", "embedding", "deleted"} <= {*rows.columns}:
             raise TableError(f"the table at {path} is corrupted or unsupported")
-        out = cls(rows, Parameters(**meta))
+        out = cls(rows, Parameters(**meta), path)
         return out if max_elements is None else out.resize(max(max_elements, n))
 
     @staticmethod

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,12 @@ from nearfield.functions.vectors import to_arrays
 from nearfield.operators import evaluate, exact
 from nearfield.operators.graph import GraphIndex
 from nearfield.operators.ivf import CellIndex
+from nearfield.operators.objects import ObjectTable
 from nearfield.operators.table import VectorTable
 from nearfield.plans import sql
-from nearfield.streaming.vectors import StreamTable
+from nearfield.plans.search import nearest
+from nearfield.sources import binary
+from nearfield.streaming.vectors import StreamTable, knn_stream
 
 #: Queries are all vectors whose id is divisible by this; they are searched among all rows.
 EACH, K = 20, 10
@@ -449,3 +453,81 @@ def stream_upsert_knn(spark, sf_dir):
     for n in (0, 1, 1, 2):
         table.apply(batches[n], n)
     return table.current().knn(query_set(b), K)
+
+
+@registered(KNN_L2)
+def stream_knn(spark, sf_dir):
+    """Neighbours of queries that arrive as a stream of files."""
+    b, path = base(spark, sf_dir), shared_folder(spark, "queries")
+    query_set(b).repartition(3).write.parquet(f"{path}/in")
+    arriving = spark.readStream.schema("query_id bigint, qv array<float>").option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    knn_stream(arriving, b, K, f"{path}/out", f"{path}/log").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("query_id", "vec_id", "dist", "rank")
+
+
+# --- ids of any kind, planner, files --------------------------------------
+
+
+@registered(f"SELECT query_id, 'v' || vec_id AS ext_id, dist, rank FROM ({KNN_L2})")
+def object_ids_knn(spark, sf_dir):
+    """Vectors known by strings; a second batch only updates."""
+    b = base(spark, sf_dir)
+    named = b.select(F.concat(F.lit("v"), "vec_id").alias("ext_id"), "embedding")
+    table = ObjectTable.create(spark, "l2", DIM).add(times(named, 2)).add(named)
+    return table.knn(query_set(b), K)
+
+
+@registered(_top_sql(_pairs_sql(), where="label = 3"))
+def planned_knn(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return nearest(b, query_set(b), K, where="label = 3")[0]
+
+
+def _local(spark: SparkSession, name: str) -> str:
+    """A folder that the driver writes files to itself; it must be mounted by all."""
+    path = shared_folder(spark, name).removeprefix("file:").replace("//", "/")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+@registered(KNN_L2)
+def fbin_knn(spark, sf_dir):
+    """The base through an fbin file and back."""
+    b, path = base(spark, sf_dir), _local(spark, "fbin")
+    binary.write_fbin(b, f"{path}/base.fbin")
+    return exact.knn(binary.read_fbin(spark, f"{path}/base.fbin"), query_set(b), K)
+
+
+@registered("SELECT vec_id, list_transform(embedding, lambda x: CAST(floor((x::DOUBLE + 1) * 127.5) AS SMALLINT)) AS embedding FROM embeddings")
+def bvecs_rows(spark, sf_dir):
+    """Bytes through a bvecs file and back."""
+    path = _local(spark, "bvecs")
+    binary.write_vecs(as_bytes(base(spark, sf_dir)), f"{path}/base.bvecs")
+    return binary.read_vecs(spark, f"{path}/base.bvecs", DIM)
+
+
+@registered(f"SELECT query_id, rank, vec_id FROM ({KNN_L2})")
+def ivecs_truth(spark, sf_dir):
+    """True neighbours through an ivecs file and back."""
+    b, path = base(spark, sf_dir), _local(spark, "ivecs")
+    found = to_arrays(knn_l2(spark, sf_dir)).select((F.col("query_id") / EACH).cast("long").alias("vec_id"), F.col("ids").alias("embedding"))
+    binary.write_vecs(found, f"{path}/truth.ivecs", "uint")
+    return binary.read_truth(spark, f"{path}/truth.ivecs", K).withColumn("query_id", F.col("query_id") * EACH)
+
+
+@registered("SELECT vec_id AS query_id, len(embedding) AS dim, CAST(1 AS DOUBLE) AS recall, 1 AS hits FROM embeddings WHERE vec_id % 20 = 0")
+def self_recall_by_query(spark, sf_dir):
+    b = base(spark, sf_dir)
+    q = query_set(b)
+    truth = q.select("query_id", F.col("query_id").alias("vec_id"), F.lit(1).alias("rank"))
+    return evaluate.recall(exact.knn(b, q, 1), truth, 1).join(q.select("query_id", F.size("qv").alias("dim")), "query_id")
+
+
+@registered()
+def graph_ef_sweep(spark, sf_dir):
+    """Recall and time by beam width."""
+    b = base(spark, sf_dir)
+    path = shared_folder(spark, "graph")
+    _graph(b).save(path)
+    index, q = GraphIndex.load(spark, path, "l2", DIM), query_set(b)
+    return evaluate.sweep(lambda ef: index.knn(q, K, ef), exact.knn(b, q, K), K, [10, 40, 160])

@@ -12,8 +12,10 @@ from nearfield.functions.space import Space
 from nearfield.operators import evaluate, exact
 from nearfield.operators.graph import GraphIndex, level_of
 from nearfield.operators.ivf import CellIndex
+from nearfield.operators.objects import ObjectTable
 from nearfield.operators.table import Parameters, TableError, VectorTable
 from nearfield.plans import planner, sql
+from nearfield.plans.search import nearest
 from nearfield.sources import binary
 from nearfield.streaming.vectors import StreamTable, knn_stream
 
@@ -268,6 +270,13 @@ def test_save_and_load(spark, tmp_path):
     assert result(again.knn(q, 5)) == result(t.clone().knn(q, 5))
     assert VectorTable.size_bytes(spark, f"{tmp_path}/t") > 0
     assert VectorTable.load(spark, f"{tmp_path}/t", 40).max_elements == 40 and again.describe()["element_count"] == 20
+    import pickle
+
+    assert pickle.loads(pickle.dumps(again)).rows.exceptAll(t.rows).count() == 0
+    with pytest.raises(TableError):
+        pickle.dumps(t)
+    with pytest.raises(TableError):
+        again.clone().__setstate__({"path": "x"})
     with pytest.raises(TableError):
         VectorTable.load(spark, f"{tmp_path}/none")
     again.rows.limit(3).write.mode("append").parquet(f"{tmp_path}/t/rows")
@@ -363,3 +372,33 @@ def test_library_stands_without_llm():
                 if f.endswith(".py"):
                     with open(f"{folder}/{f}") as text:
                         assert "nearfield.llm" not in text.read()
+
+
+def test_object_ids(spark, tmp_path):
+    x = np.eye(4)
+    rows = spark.createDataFrame([(f"o{i}", [float(v) for v in x[i]]) for i in range(4)], "ext_id string, embedding array<double>")
+    t = ObjectTable.create(spark, "l2", 4).add(rows.where("ext_id <> 'o3'")).add(rows)
+    assert t.table.count() == 4 and t.table.parameters.next_id == 4
+    q = exact.as_queries(frame(spark, x))
+    assert [r.ext_id for r in t.knn(q, 1).orderBy("query_id").collect()] == ["o0", "o1", "o2", "o3"]
+    gone = t.delete(rows.where("ext_id = 'o1'"))
+    assert gone.knn(q, 4).where("ext_id = 'o1'").count() == 0 and gone.get(rows).count() == 3
+    gone.save(f"{tmp_path}/objects")
+    assert ObjectTable.load(spark, f"{tmp_path}/objects").get(rows).count() == 3
+    with pytest.raises(KeyError):
+        t.delete(spark.createDataFrame([("zz",)], "ext_id string"))
+    for bad in (rows.unionByName(rows), rows.withColumn("ext_id", F.lit(None).cast("string")).limit(1)):
+        with pytest.raises(vectors.VectorError):
+            t.add(bad)
+    assert t.add(rows.withColumn("seq", F.lit(1)).unionByName(rows.withColumn("seq", F.lit(2)))).table.count() == 4
+
+
+def test_planned_search(spark, uniform, graph, monkeypatch):
+    q = exact.as_queries(uniform.where("vec_id % 100 = 0"))
+    found, chosen = nearest(uniform, q, 5)
+    assert chosen.method == "blocked" and result(found) == result(exact.knn(uniform, q, 5))
+    monkeypatch.setattr(planner, "EXACT_PAIRS", 10)
+    found, chosen = nearest(uniform, q, 5, recall=0.9, graph=graph)
+    assert chosen.method == "graph" and evaluate.mean_recall(found, exact.knn(uniform, q, 5), 5).first()["recall"] > 0.9
+    found, chosen = nearest(uniform, q, 5, recall=0.9, cells=CellIndex.build(uniform, 10))
+    assert chosen.method == "cells" and found.count() == 150
