@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -262,7 +263,7 @@ def _document_minima(base: DataFrame, queries: DataFrame, s: Space, dim: int, do
             if not batch.num_rows:
                 continue
             coded = batch.column(doc).dictionary_encode()
-            names, code = coded.dictionary.to_pylist() + [None], np.where(pa.compute.is_null(coded.indices).to_numpy(zero_copy_only=False), len(coded.dictionary), pa.compute.fill_null(coded.indices, 0).to_numpy(zero_copy_only=False))
+            names, code = coded.dictionary.to_pylist() + [None], np.where(pc.is_null(coded.indices).to_numpy(zero_copy_only=False), len(coded.dictionary), pc.fill_null(coded.indices, 0).to_numpy(zero_copy_only=False))
             b = s.prepare(matrix(batch.column("embedding"), dim))
             for lo in range(0, len(b), B_BLOCK):
                 c = code[lo : lo + B_BLOCK]
@@ -279,8 +280,6 @@ def _document_minima(base: DataFrame, queries: DataFrame, s: Space, dim: int, do
         a, x, y = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(x, doc_type), pa.array(y, pa.float64())], ["query_id", doc, "dist"])
 
-    import pyarrow.compute  # noqa: F401
-
     doc_type = base.select(doc).limit(0).toArrow().schema.field(0).type
     return base.select("embedding", doc).mapInArrow(run, f"query_id bigint, {doc} {kind}, dist double")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from nearfield.operators.exact import knn
-from nearfield.operators.table import Parameters, TableError, VectorTable
+from nearfield.operators.table import TableError, VectorTable
 
 
 class StreamTable:
@@ -78,6 +78,3 @@ def knn_stream(queries: DataFrame, base: DataFrame, k: int, out: str, checkpoint
         knn(base, batch, k, space).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     return queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-__all__ = ["Parameters", "StreamTable", "knn_stream"]
