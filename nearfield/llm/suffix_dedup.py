@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,8 +75,20 @@ def anchored_runs(b: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ..
     return first, size, p - first, grams[p], content ^ mix((p - first).astype(np.uint64) + np.uint64(1))
 
 
+#: Kinds of rows that are dealt: a run, one run for several equal ones of its slice, and a span that the others cover.
+ALONE, FIRST, SPAN = 0, 1, 2
+
+
 def runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(id, hash, fp, content, start, size, off) of every run of every document of ``id, hash, text``."""
+    """(id, hash, fp, content, packed, kind) of every run of every document of ``id, hash, text``.
+
+    Equal runs of one slice of documents repeat whatever other slices hold: only
+    the first, by id, hash and start, is dealt by its anchor. The others are
+    spans already, joined where they touch and dealt by place, so that a string
+    of very many documents is a row for each slice, not for each document.
+    ``packed`` has start, strings and the anchor's distance; a span's ``content``
+    is its end.
+    """
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,17 +100,36 @@ def runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     first, *rest = anchored_runs(b[top : top + BLOCK + length - 1], length, gram)
                     parts.append((first + top, *rest))
                     row.append(np.full(len(first), i))
-            if parts:
-                first, size, off, fp, content = (np.concatenate(x) for x in zip(*parts, strict=True))
-                at = pa.array(np.concatenate(row))
-                numbers = [fp.view(np.int64), content.view(np.int64), first << np.int64(24) | size << np.int64(12) | off]
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("hash").take(at), *map(pa.array, numbers)], ["id", "hash", "fp", "content", "packed"])
-
-    packed = docs.mapInArrow(run, f"id {kind}, hash bigint, fp bigint, content bigint, packed bigint")
-    low = lambda n: F.shiftright("packed", n).bitwiseAND(F.lit(4095)).cast("int")
-    # hashes and one number are what is shuffled
-    dealt = packed.repartition("fp").sortWithinPartitions("fp", "content", "id", "hash", "packed")
-    return dealt.select("id", "hash", "fp", "content", "packed", F.shiftright("packed", 24).alias("start"), low(12).alias("size"), low(0).alias("off"))
+            if not parts:
+                continue
+            first, size, off, fp, content = (np.concatenate(x) for x in zip(*parts, strict=True))
+            row = np.concatenate(row)
+            place = np.empty(batch.num_rows, np.int64)
+            keys = pa.table([batch.column("id"), batch.column("hash")], ["id", "hash"])
+            place[pc.sort_indices(keys, [("id", "ascending"), ("hash", "ascending")], null_placement="at_start").to_numpy()] = np.arange(batch.num_rows)
+            order = np.lexsort((first, place[row], content, fp))
+            again = np.concatenate([[False], (fp[order][1:] == fp[order][:-1]) & (content[order][1:] == content[order][:-1])])
+            what = np.full(len(first), ALONE, np.int8)
+            what[order[:-1][again[1:]]] = FIRST
+            what[order[again]] = SPAN
+            kept, gone = np.flatnonzero(what != SPAN), np.flatnonzero(what == SPAN)
+            # spans come by document and start; their ends rise with their starts
+            end = first[gone] + size[gone] - 1 + length
+            opens = np.concatenate([[True], (row[gone][1:] != row[gone][:-1]) | (first[gone][1:] > end[:-1])])[: len(gone)]
+            start_at = np.flatnonzero(opens)
+            end = end[np.append(start_at[1:], len(gone)) - 1] if len(gone) else end
+            spans = gone[start_at]
+            salt = mix(batch.column("hash").to_numpy().astype(np.int64).view(np.uint64)[row[spans]] ^ mix(first[spans].astype(np.uint64)))
+            numbers = [
+                np.concatenate([fp[kept], salt]).view(np.int64),
+                np.concatenate([content[kept].view(np.int64), end]),
+                np.concatenate([first[kept] << np.int64(24) | size[kept] << np.int64(12) | off[kept], first[spans] << np.int64(24)]),
+                np.concatenate([what[kept], what[spans]]),
+            ]
+            at = pa.array(np.concatenate([row[kept], row[spans]]))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("hash").take(at), *map(pa.array, numbers)], ["id", "hash", "fp", "content", "packed", "kind"])
+
+    return docs.mapInArrow(run, f"id {kind}, hash bigint, fp bigint, content bigint, packed bigint, kind tinyint")
 
 
 def rank_suffixes(text: np.ndarray, length: int) -> np.ndarray:
@@ -239,13 +271,18 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
 
 
 def _found(source: DataFrame, packed_docs: DataFrame, length: int, gram: int, keep_first: bool, hot: int) -> DataFrame:
-    of_anchor, of_content = Window.partitionBy("fp"), Window.partitionBy("fp", "content")
-    rows = runs(source, length, gram).withColumn("n", F.count("*").over(of_anchor)).where("n > 1")
-    rows = rows.withColumn("same", F.count("*").over(of_content)).withColumn("nth", F.row_number().over(of_content.orderBy("id", "hash", "packed")))
-    rows = rows.withColumn("contents", F.sum((F.col("nth") == 1).cast("long")).over(of_anchor))
-    rows = checkpointed(rows.where("same > 1 or contents > 1").select("id", "hash", "fp", "start", "size", "same", "nth", "contents"))
-    whole = rows.where("same > 1 and nth > 1" if keep_first else "same > 1").select("id", "hash", "start", (F.col("start") + F.col("size") - 1 + length).alias("end"))
-    cands = rows.where("contents > 1 and nth = 1").withColumn("hot", F.col("contents") > hot)
+    span = F.col("kind") == SPAN
+    of_anchor, of_content = Window.partitionBy("fp", "span"), Window.partitionBy("fp", "span", "content")
+    # hashes and numbers are what is shuffled
+    dealt = runs(source, length, gram).repartition("fp").withColumn("span", span).sortWithinPartitions("fp", "span", "content", "id", "hash", "packed")
+    rows = dealt.withColumn("n", F.count("*").over(of_anchor)).where((F.col("n") > 1) | (F.col("kind") != ALONE))
+    again = (F.count("*").over(of_content) > 1) | (F.max("kind").over(of_content) == FIRST)
+    rows = rows.withColumn("again", again).withColumn("nth", F.row_number().over(of_content.orderBy("id", "hash", "packed")))
+    rows = rows.withColumn("contents", F.sum((F.col("nth") == 1).cast("long")).over(of_anchor)).where(span | F.col("again") | (F.col("contents") > 1))
+    start, size = F.shiftright("packed", 24), F.shiftright("packed", 12).bitwiseAND(F.lit(4095)).cast("int")
+    rows = checkpointed(rows.select("id", "hash", "fp", start.alias("start"), size.alias("size"), F.when(span, F.col("content")).otherwise(start + size - 1 + length).alias("end"), "span", "again", "nth", "contents"))
+    whole = rows.where("span or nth > 1" if keep_first else "span or again").select("id", "hash", "start", "end")
+    cands = rows.where("not span and contents > 1 and nth = 1").withColumn("hot", F.col("contents") > hot)
     contents = _contents(cands, packed_docs, length)
     some_hot = not cands.where("hot").isEmpty()
     if not some_hot:
