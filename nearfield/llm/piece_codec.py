@@ -11,9 +11,10 @@ by position.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -21,7 +22,7 @@ from nearfield.llm.common import slices, strings
 
 MARK = "▁"
 #: Distinct chunks that a worker holds, and the length beyond which a chunk is not held.
-TABLE_SIZE, TABLE_CHARS = 400_000, 64
+TABLE_SIZE, TABLE_CHARS = 200_000, 64
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -59,33 +60,49 @@ class ChunkTable:
         return [x or self.mark_ids for x in out]
 
     def entries(self, chunks: list[str]) -> list:
-        """What ``entry`` makes of each chunk, in the order of ``chunks``."""
+        """What ``made`` makes of each chunk's ids, in the order of ``chunks``."""
         if len(self.table) > self.size:
             self.table.clear()
         known, large = self.table, {}
         missing = list({c for c in chunks if c not in known})
-        for c, ids in zip(missing, self.ids(missing), strict=True):
-            (known if len(c) <= TABLE_CHARS else large)[c] = self.entry(c, ids)
+        for c, entry in zip(missing, self.made(self.ids(missing)), strict=True):
+            (known if len(c) <= TABLE_CHARS else large)[c] = entry
         return list(map((known | large if large else known).__getitem__, chunks))
 
-    def entry(self, chunk: str, ids: list[int]):
+    def made(self, ids: list[list[int]]) -> list:
         return ids
 
 
 class CodecTable(ChunkTable):
     """Entries: a chunk's ids as little-endian unsigned 32-bit integers, and its decoded text."""
 
-    def entry(self, chunk: str, ids: list[int]) -> tuple[bytes, str]:
-        return np.array(ids, "<u4").tobytes(), " " + self.sp.decode(ids)
+    def __init__(self, path: str, **options) -> None:
+        super().__init__(path, **options)
+        sp, n = self.sp, self.sp.get_piece_size()
+        #: What an ordinary piece decodes to; the library decodes chunks with any other piece.
+        self.plain = {i: sp.id_to_piece(i).replace(MARK, " ") for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+
+    def made(self, ids: list[list[int]]) -> list[tuple[bytes, str]]:
+        plain, out = self.plain, []
+        for x in ids:
+            try:
+                out.append((array("I", x).tobytes(), "".join([plain[i] for i in x])))
+            except KeyError:
+                out.append((array("I", x).tobytes(), " " + self.sp.decode(x)))
+        return out
 
     def encode(self, text: str, begin: bool = True, end: bool = True) -> tuple[bytes, str]:
         """``text`` as ids, and what these ids decode to."""
         found = self.entries(marked_chunks(text))
-        edge = [np.array([x], "<u4").tobytes() for x in (self.sp.bos_id(), self.sp.eos_id())]
+        edge = [array("I", [x]).tobytes() for x in (self.sp.bos_id(), self.sp.eos_id())]
         ids = b"".join([edge[0] * begin, *(x for x, _ in found), edge[1] * end])
         return ids, "".join([x for _, x in found])[1:]
 
 
+# ids are written as the machine holds them
+assert sys.byteorder == "little" and array("I").itemsize == 4
+
+
 def encode_decode(docs: DataFrame, text: str = "text", model: str | None = None, begin: bool = True, end: bool = True, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all but ``text`` by default) of each row with ``ids`` and ``decoded``.
 

@@ -33,8 +33,8 @@ class CountTable(ChunkTable):
         self.pairs: dict[str, bool] = {}
         self.longest = max(len(self.sp.id_to_piece(i)) for i in range(self.sp.get_piece_size()))
 
-    def entry(self, chunk: str, ids: list[int]) -> int:
-        return len(ids)
+    def made(self, ids: list[list[int]]) -> list[int]:
+        return [len(x) for x in ids]
 
     def prefixes(self, text: str) -> PrefixCounts:
         chunks = marked_chunks(text)
