@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a Python worker turns into one output batch, and the text bytes after which it yields early.
-YIELD_ROWS, YIELD_BYTES = 2048, 4 << 20
+YIELD_ROWS, YIELD_BYTES = 2048, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star rounds: every round is two
     aggregations and joins over the edge table, which stays within its first
     size, and rounds grow with the logarithm of the longest path. No vertex
-    gathers its neighbours in one row. ``component_id`` is the smallest id.
+    gathers its neighbours in one row, and those of a vertex with very many are
+    joined where they stand (``_join_hubs``). ``component_id`` is the smallest id.
     Each round's table goes to the shared checkpoint folder.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -68,12 +69,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         before = _signature(e)
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree"))
         # large star: neighbours above u now point to the smallest of u's neighbourhood
-        e = e.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        e = _join_hubs(e.select(F.col("v").alias("u"), F.col("u").alias("w")), low, before[0]).select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its neighbours below point to the smallest of them
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        e = _join_hubs(e, low, before[0]).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         e = checkpointed(e)
         if _signature(e) == before:
             break
@@ -83,6 +84,37 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(tops)
 
 
+def _join_hubs(edges: DataFrame, low: DataFrame, n: int) -> DataFrame:
+    """``edges`` with ``m`` of their ``u``; the few vertices with a large share of all ``n`` edges are broadcast."""
+    most = max(HOT_LEAST, n * HOT_SHARE)
+    hubs = low.where(F.col("degree") > most)
+    near = edges.join(F.broadcast(hubs.drop("degree")), "u")
+    far = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(low.where(F.col("degree") <= most).drop("degree"), "u")
+    return near.unionByName(far)
+
+
+#: A key with more than this share of all rows is joined by broadcast; so there are at most 1 / HOT_SHARE such keys.
+HOT_SHARE, HOT_LEAST = 1 / 500, 500
+
+
+def join_by_class(rows: DataFrame, classes: DataFrame, key: str, copies: str = "copies") -> DataFrame:
+    """``rows`` left-joined with ``classes`` (one row a ``key``) by ``key``, whatever share of the rows a key holds.
+
+    ``copies`` of a class says how many rows have its key. The few classes that
+    hold more than ``HOT_SHARE`` of all rows, 500 at most, are broadcast, so that
+    their rows stay where they are; the rest are joined by a shuffle.
+    """
+    classes = checkpointed(classes)
+    total = classes.agg(F.sum(copies)).first()[0] or 0
+    hot = classes.where(F.col(copies) > max(HOT_LEAST, total * HOT_SHARE))
+    cold = classes.where(F.col(copies) <= max(HOT_LEAST, total * HOT_SHARE))
+    if hot.isEmpty():
+        return rows.join(classes, key, "left")
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
+    return near.unionByName(far)
+
+
 def _signature(e: DataFrame) -> tuple:
     row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)

@@ -7,6 +7,8 @@ shingle of all its words; a text without words has none.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 WORDS = 5
@@ -52,9 +54,33 @@ class _Powers:
 _powers = _Powers()
 
 
+#: Bytes that are hashed at a time; longer words are hashed one by one.
+PIECE = 1 << 20
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of every word of ``data`` (lower-cased UTF-8)."""
-    b = np.frombuffer(data, np.uint8)
+    if len(data) <= PIECE:
+        return _piece_hashes(np.frombuffer(data, np.uint8))
+    b, at, hashes, first = np.frombuffer(data, np.uint8), 0, [], []
+    while at < len(b):
+        end = min(len(b), at + PIECE)
+        gaps = np.flatnonzero(~IS_WORD[b[at:end]])
+        if end < len(b) and not len(gaps):  # a word longer than a piece
+            while end < len(b) and IS_WORD[b[end]]:
+                step = np.flatnonzero(~IS_WORD[b[end : end + PIECE]])
+                end = end + int(step[0]) if len(step) else min(len(b), end + PIECE)
+            found = np.frombuffer(hashlib.md5(data[at:end]).digest()[:8], np.uint64), np.zeros(1, np.int64)
+        else:
+            end = end if end == len(b) else at + int(gaps[-1]) + 1
+            found = _piece_hashes(b[at:end])
+        hashes.append(found[0])
+        first.append(found[1] + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(first)
+
+
+def _piece_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     w = np.concatenate([[False], IS_WORD[b], [False]])
     edge = np.flatnonzero(w[1:] != w[:-1])
     first, last = edge[::2], edge[1::2]
@@ -62,7 +88,10 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), first
     up, down = _powers.upto(len(b) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
-    return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * _M), first
+    out = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * _M)
+    for i in np.flatnonzero(last - first >= PIECE).tolist():  # as where it is met in longer data
+        out[i] = np.frombuffer(hashlib.md5(b[first[i] : last[i]].tobytes()).digest()[:8], np.uint64)[0]
+    return out, first
 
 
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
