@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import checkpointed, components
+from nearfield.llm.common import checkpointed, components, join_by_class
 
 THRESHOLD = 0.98
 #: Classes of a tile; leading dimensions that are summed at a time; rows of a tile that are compared at a time.
@@ -157,10 +157,10 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, tile: int = T
         named = joined.join(classes.select(F.col("key").alias("id"), "rep"), "id")
         lowest = named.groupBy("component_id").agg(F.min("rep").alias("component"))
         of_class = classes.select(F.col("key").alias("id"), "rep", "copies").join(counts.withColumnRenamed("node", "id"), "id", "left").join(joined, "id", "left").join(lowest, "component_id", "left")
-        of_class = of_class.select(F.col("id").alias("key"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
+        of_class = of_class.select(F.col("id").alias("key"), "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
     else:
-        of_class = classes.select("key", F.lit(0).cast("long").alias("links"), F.col("rep").alias("component"))
-    out = keyed.select("vec_id", "key").join(of_class, "key", "left")
+        of_class = classes.select("key", "copies", F.lit(0).cast("long").alias("links"), F.col("rep").alias("component"))
+    out = join_by_class(keyed.select("vec_id", "key"), of_class, "key")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 

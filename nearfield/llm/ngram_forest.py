@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import checkpointed, components, slices, strings
+from nearfield.llm.common import checkpointed, components, join_by_class, slices, strings
 from nearfield.llm.embedding_dedup import Forest
 from nearfield.llm.shingles import WORDS, mix, shingle_sets
 
@@ -131,16 +131,29 @@ def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, list, list]] = []
+        star: tuple | None = None  # key and hub of a node that is too large to hold
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys, nodes, sketches = batch.column("key").to_numpy(), batch.column("node").to_pylist(), batch.column("sketch").to_pylist()
+            if star:
+                n = int(np.searchsorted(keys, star[0], "right")) if keys[0] == star[0] else 0
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[:n], pa.binary()), pa.array([star[1]] * n, pa.binary())], ["a", "b"])
+                keys, nodes, sketches = keys[n:], nodes[n:], sketches[n:]
+                if not len(keys):
+                    continue
+                star = None
             if held:
                 keys, nodes, sketches = np.concatenate([held[0][0], keys]), held[0][1] + nodes, held[0][2] + sketches
             # the last node of the trie may go on in the next batch
             last = int(np.searchsorted(keys, keys[-1]))
             yield from edges(keys[:last], nodes[:last], sketches[:last])
             held = [(keys[last:], nodes[last:], sketches[last:])]
+            if len(keys) - last > NODE:
+                star = (keys[-1], nodes[last])
+                yield from edges(*held[0])
+                held = []
         if held:
             yield from edges(*held[0])
 
@@ -265,8 +278,9 @@ def _decided(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold
     lowest = joined.join(classes.select("node", "rep"), "node").groupBy("component_id").agg(F.min("rep").alias("component"))
     named = joined.join(lowest, "component_id").select("node", "component")
     result = classes.select("node", "rep", "copies").join(links, "node", "left").join(named, "node", "left")
-    result = result.select("node", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = every.select("id", "hash", F.when(F.col("id").isNotNull(), F.col("node")).alias("node")).join(result, "node", "left")
+    result = result.select("node", "rep", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
+    out = every.select("id", "hash", F.when(F.col("id").isNotNull(), F.col("node")).alias("node"))
+    out = join_by_class(out, result, "node")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), F.coalesce("rep", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "hash")
 

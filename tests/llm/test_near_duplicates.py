@@ -25,7 +25,8 @@ def plain_components(n, links):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+def test_components(spark, monkeypatch, seed):
+    monkeypatch.setattr(common, "HOT_LEAST", [500, 3, 1][seed])
     r = random.Random(seed)
     n = 120
     links = [(r.randrange(n), r.randrange(n)) for _ in range(90)] + [(i, i + 1) for i in range(100, 119)]
@@ -57,7 +58,8 @@ def plain_vectors(rows, threshold=0.98):
 
 
 @pytest.mark.parametrize(("dim", "tile"), [(8, 8192), (8, 30), (3, 7), (1, 5), (64, 40)])
-def test_embeddings_equal_brute_force(spark, dim, tile):
+def test_embeddings_equal_brute_force(spark, monkeypatch, dim, tile):
+    monkeypatch.setattr(common, "HOT_LEAST", 500 if tile > 30 else 5)
     r = np.random.default_rng(dim * tile)
     centres = r.normal(size=(12, dim))
     rows = []
@@ -100,6 +102,18 @@ def test_shingles_equal_plain_sets():
     assert all((a == b).all() for a, b in zip(alone, sets, strict=True))
 
 
+def test_pieces_of_long_texts(monkeypatch):
+    from nearfield.llm import shingles
+
+    r = random.Random(8)
+    texts = ["".join(r.choice("ab é.") for _ in range(r.randrange(400))) for _ in range(40)] + ["x" * 90 + " y z " + "w" * 300, "x" * 90, "é" * 200]
+    monkeypatch.setattr(shingles, "PIECE", 64)
+    cut = shingle_sets(texts)
+    alone = [shingle_sets([t])[0] for t in texts]
+    assert all((a == b).all() for a, b in zip(cut, alone, strict=True))
+    assert [len(s) for s in cut] == [len(plain_shingles(t)) for t in texts]
+
+
 @pytest.mark.parametrize("frequent", [2, 5, 24])
 def test_intersections(monkeypatch, frequent):
     monkeypatch.setattr(ngram_forest, "FREQUENT", frequent)
@@ -144,6 +158,7 @@ def plain_jaccard(rows):
 @pytest.mark.parametrize(("tile", "node"), [(ngram_forest.TILE, ngram_forest.NODE), (3000, 20)])
 def test_jaccard_join_equals_brute_force(spark, monkeypatch, tile, node):
     monkeypatch.setattr(ngram_forest, "NODE", node)
+    monkeypatch.setattr(common, "HOT_LEAST", 500 if node > 20 else 5)
     rows = near_copies()
     frame = spark.createDataFrame([(*x, 1) for x in rows], "doc_id bigint, text string, node int")
     links, same = plain_jaccard(rows)
