@@ -47,25 +47,34 @@ def as_queries(df: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
     return df.select(F.col(key).cast("long").alias("query_id"), F.col(vector).alias("qv"))
 
 
-def query_size(queries: DataFrame, dim: int) -> tuple[int, int]:
-    """Rows and bytes of a query set; one number comes back."""
-    n = queries.count()
-    return n, n * (dim * 8 + 8)
+def size_of(n: int, dim: int) -> int:
+    """Bytes of so many queries."""
+    return n * (dim * 8 + 8)
 
 
-def checked_dim(base: DataFrame, queries: DataFrame, dim: int | None) -> int:
-    """The common length of all query vectors and of the base; ``VectorError`` if they differ or are null."""
-    dim = dim or dimension(base) or dimension(queries, "qv") or 0
-    bad = queries.where(F.coalesce(F.size("qv") != dim, F.lit(True)) | F.col("query_id").isNull()).limit(1)
-    if dim and not bad.isEmpty():
-        raise VectorError(f"every query needs an id and a vector of {dim} numbers")
-    return dim
+def checked(queries: DataFrame, dim: int | None) -> tuple[int, int]:
+    """The length of the query vectors and their number, from one pass; ``VectorError`` unless all have ``dim`` numbers and an id.
+
+    Without ``dim``, which searches take from the base's first row, the queries
+    only have to agree. Other rows of the base are checked where distances are computed.
+    """
+    size = F.size("qv")
+    row = queries.agg(F.count("*").alias("n"), F.min(size).alias("least"), F.max(size).alias("most"), F.count(F.when(F.col("query_id").isNull() | F.col("qv").isNull(), 1)).alias("null")).first()
+    if row["n"] and (row["null"] or row["least"] != row["most"] or dim is not None and row["most"] != dim):
+        raise VectorError(f"every query needs an id and a vector of {dim or 'as many'} numbers")
+    return (dim if dim is not None else row["most"] or 0), row["n"]
+
+
+def checked_dim(base: DataFrame, dim: int | None) -> int:
+    """The common length of all vectors of a base that an index is built of."""
+    return checked(base.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), dim)[0]
 
 
 def scored(base: DataFrame, queries: DataFrame, space: str | Space = "l2", *more: str) -> DataFrame:
     """Every pair of a query and a row with its distance; ``queries`` must be small, as it is broadcast."""
     s = Space.parse(space)
-    dist = s.expression(F.col("_q"), F.col("_b"))
+    apart = F.raise_error(F.lit("a vector hasn't as many numbers as the query"))
+    dist = F.when(F.size("_q") == F.size("_b"), s.expression(F.col("_q"), F.col("_b"))).otherwise(apart)
     b = base.select(F.col("vec_id").cast("long").alias("vec_id"), s.prepare_column(F.col("embedding")).alias("_b"), *more)
     q = queries.select("query_id", s.prepare_column(F.col("qv")).alias("_q"))
     return b.crossJoin(F.broadcast(q)).select("query_id", "vec_id", *more, dist.alias("dist"))
@@ -183,9 +192,8 @@ def knn(base: DataFrame, queries: DataFrame, k: int = 1, space: str | Space = "l
         raise ValueError("on_short is 'partial' or 'error'")
     s = Space.parse(space)
     base = base.where(where) if where is not None else base
-    dim = checked_dim(base, queries, dim)
-    nq, size = query_size(queries, dim)
-    how = choose(nq * base.count() if method == "auto" else 0, size, method)
+    dim, nq = checked(queries, dim or dimension(base))
+    how = choose(nq * base.count() if method == "auto" else 0, size_of(nq, dim), method)
     if how == "expression":
         pairs = scored(base, queries, s)
     elif how == "blocked":
@@ -230,20 +238,19 @@ def radius(base: DataFrame, queries: DataFrame, eps: float, max_results: int | N
     """(query_id, vec_id, dist, rank): rows with ``dist <= eps``, the nearest ``max_results`` of them if given."""
     s = Space.parse(space)
     base = base.where(where) if where is not None else base
-    dim = checked_dim(base, queries, dim)
+    dim, n = checked(queries, dim or dimension(base))
     if method == "expression":
         found = scored(base, queries, s).where(F.col("dist") <= eps)
     else:
-        found = _query_blocks(queries, dim, lambda q: _within(base, q.withColumn("_limit", F.lit(float(eps))), s, dim, "_limit", False, max_results))
+        found = _query_blocks(queries, n, dim, lambda q: _within(base, q.withColumn("_limit", F.lit(float(eps))), s, dim, "_limit", False, max_results))
     if max_results is None:
         return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "vec_id")))
     return ranked(found, max_results)
 
 
-def _query_blocks(queries: DataFrame, dim: int, f) -> DataFrame:
-    """``f`` of the queries, in as many blocks as their size needs, each against all rows."""
-    _, size = query_size(queries, dim)
-    blocks = max(1, math.ceil(size / QUERY_BYTES))
+def _query_blocks(queries: DataFrame, n: int, dim: int, f) -> DataFrame:
+    """``f`` of the ``n`` queries, in as many blocks as their size needs, each against all rows."""
+    blocks = max(1, math.ceil(size_of(n, dim) / QUERY_BYTES))
     out = None
     for b in range(blocks):
         part = f(queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
@@ -295,18 +302,18 @@ def top_docs(base: DataFrame, queries: DataFrame, num_docs: int, doc: str = "doc
         raise ValueError("num_docs must be 1 or more")
     s = Space.parse(space)
     base = base.where(where) if where is not None else base
-    dim = checked_dim(base, queries, dim)
+    dim, n = checked(queries, dim or dimension(base))
     if method == "expression":
         pairs = scored(base, queries, s, doc)
         low = pairs.groupBy("query_id", doc).agg(F.min("dist").alias("dist"))
     else:
-        low = _query_blocks(queries, dim, lambda q: _document_minima(base, q, s, dim, doc, num_docs + 1)).groupBy("query_id", doc).agg(F.min("dist").alias("dist"))
+        low = _query_blocks(queries, n, dim, lambda q: _document_minima(base, q, s, dim, doc, num_docs + 1)).groupBy("query_id", doc).agg(F.min("dist").alias("dist"))
     nth = low.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("dist"))).where(F.col("n") == num_docs + 1)
     cutoff = nth.select("query_id", F.col("dist").alias("cutoff"))
     if method == "expression":
         found = pairs.join(cutoff, "query_id", "left").where(F.col("cutoff").isNull() | (F.col("dist") < F.col("cutoff"))).drop("cutoff")
     else:
         limited = queries.join(cutoff, "query_id", "left").select("query_id", "qv", F.coalesce("cutoff", F.lit(float("inf"))).alias("cutoff"))
-        found = _query_blocks(limited, dim, lambda q: _within(base, q, s, dim, "cutoff", True, None, doc))
+        found = _query_blocks(limited, n, dim, lambda q: _within(base, q, s, dim, "cutoff", True, None, doc))
     order = Window.partitionBy("query_id").orderBy("dist", "vec_id")
     return found.select("query_id", "vec_id", doc, "dist").withColumn("rank", F.row_number().over(order))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.space import Space
 from nearfield.functions.vectors import matrix
-from nearfield.operators.exact import checked_dim, choose, collected, knn, query_size, ranked
+from nearfield.operators.exact import checked, checked_dim, choose, collected, knn, ranked, size_of
 
 #: Rows of a shard at most, about.
 SHARD = 20_000
@@ -247,7 +247,7 @@ class GraphIndex:
     def build(cls, base: DataFrame, space: str | Space = "l2", M: int = 16, ef_construction: int = 100, ef: int = 10, seed: int = 100, shard_rows: int = SHARD, dim: int | None = None) -> GraphIndex:
         """Graphs of shards of about ``shard_rows`` rows, dealt by a hash of the key."""
         s = Space.parse(space)
-        dim = checked_dim(base, base.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), dim)
+        dim = checked_dim(base, dim)
         shards = max(1, math.ceil(base.count() / shard_rows))
         M, ef_construction = min(M, 10_000), max(ef_construction, M)
         rows = base.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("level", level_of("vec_id", M, seed))
@@ -269,8 +269,9 @@ class GraphIndex:
         return cls(spark.read.parquet(path), Space.parse(space), dim, **options)
 
     def _search(self, queries: DataFrame, where: Column | str | None, one: Callable[[Searcher, np.ndarray, pa.Table], list], more: str | None = None) -> DataFrame:
-        dim, s = checked_dim(self.rows, queries, self.dim), self.space
-        choose(0, query_size(queries, dim)[1], "blocked")
+        s = self.space
+        dim, n = checked(queries, self.dim)
+        choose(0, size_of(n, dim), "blocked")
         shared = self.rows.sparkSession.sparkContext.broadcast(collected(queries, dim, s))
         allowed = F.expr(where) if isinstance(where, str) else where
         rows = self.rows.select("shard", F.col("vec_id").cast("long").alias("vec_id"), "embedding", "links", (F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))).alias("allowed"), *([more] if more else []))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.space import Space
 from nearfield.functions.vectors import matrix
-from nearfield.operators.exact import SHAPE, Best, _result, checked_dim, collected, choose, nearest_in, query_size, ranked
+from nearfield.operators.exact import SHAPE, Best, _result, checked, checked_dim, choose, collected, nearest_in, ranked, size_of
 
 #: Rows that centres are fitted on at most: those with the smallest hash of their key.
 SAMPLE = 65_536
@@ -56,7 +56,7 @@ class CellIndex:
     def build(cls, base: DataFrame, cells: int, space: str | Space = "l2", dim: int | None = None, sample: int = SAMPLE) -> CellIndex:
         """Centres come from a bounded sample; every row gets the cell of its nearest centre in one narrow pass."""
         s = Space.parse(space)
-        dim = checked_dim(base, base.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), dim)
+        dim = checked_dim(base, dim)
         taken = base.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
         x = s.prepare(matrix(taken["embedding"], dim))
         centres = fit_centres(x, cells)
@@ -85,8 +85,9 @@ class CellIndex:
 
         ``nprobe`` of all cells gives the exact result. Queries must be few enough to broadcast.
         """
-        dim, s = checked_dim(self.rows, queries, self.dim), self.space
-        choose(0, query_size(queries, dim)[1], "blocked")
+        s = self.space
+        dim, n = checked(queries, self.dim)
+        choose(0, size_of(n, dim), "blocked")
         qid, q = collected(queries, dim, s)
         probes = np.zeros((len(q), len(self.centres)), bool)
         if len(q):

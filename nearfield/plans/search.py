@@ -19,8 +19,8 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 1, space: str | Space
     """
     rows = base.count()
     left = base.where(where).count() if where is not None else rows
-    dim = exact.checked_dim(base, queries, None)
-    chosen = plan(rows, queries.count(), max(dim, 1), recall, left / rows if rows else 1.0, graph is not None, cells is not None)
+    dim, n = exact.checked(queries, None)
+    chosen = plan(rows, n, max(dim, 1), recall, left / rows if rows else 1.0, graph is not None, cells is not None)
     if chosen.method == "graph":
         found = graph.knn(queries, k, max(k, int(10 / max(1e-3, 1 - recall))), where).select("query_id", "vec_id", "dist", "rank")
     elif chosen.method == "cells":

@@ -33,7 +33,7 @@ class KnnOfPartition:
         self.k = k
         d = 0.0
         for x, y in zip(row["embedding"], query, strict=True):
-            d += (x - y) * (x - y)
+            d += (x - float(y)) ** 2
         heapq.heappush(self.heap, (-d, -row["vec_id"]))
         if len(self.heap) > k:
             heapq.heappop(self.heap)
