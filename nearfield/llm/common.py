@@ -15,7 +15,10 @@ YIELD_ROWS, YIELD_BYTES = 2048, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A stored table, dealt to all cores if it comes in fewer partitions, as a file of one row group does."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
