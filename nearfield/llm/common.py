@@ -69,8 +69,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = checkpointed(e)
+    before = _signature(e)
+    if not before[0]:
+        return e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     for _ in range(rounds):
-        before = _signature(e)
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree"))
         # large star: neighbours above u now point to the smallest of u's neighbourhood
@@ -79,8 +81,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
         e = _join_hubs(e, low, before[0]).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         e = checkpointed(e)
-        if _signature(e) == before:
+        after = _signature(e)
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     tops = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component_id"))
@@ -90,6 +94,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def _join_hubs(edges: DataFrame, low: DataFrame, n: int) -> DataFrame:
     """``edges`` with ``m`` of their ``u``; the few vertices with a large share of all ``n`` edges are broadcast."""
     most = max(HOT_LEAST, n * HOT_SHARE)
+    if n <= most:  # no vertex has more edges than there are
+        return edges.join(low.drop("degree"), "u")
     hubs = low.where(F.col("degree") > most)
     near = edges.join(F.broadcast(hubs.drop("degree")), "u")
     far = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(low.where(F.col("degree") <= most).drop("degree"), "u")
