@@ -59,7 +59,8 @@ def find_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", scope:
     run = Window.partitionBy("_id", "_hash", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("size")).over(run)
     rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
-    rows = rows.where("counts is null or counts")
+    # matches that don't count stay as rows without kind, as a document may have no others
+    rows = rows.withColumn("kind", F.when(F.col("counts"), F.col("kind")))
 
     names = {n: k for k, n in enumerate(KINDS)}
     strong = F.col("kind") < len(BASE)
@@ -91,7 +92,8 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", mask: str =
 
     Only rows with spans are joined, by key and hash of the text; the columns stay as they are.
     """
-    spans = find_spans(docs, text, key).where(F.size("spans") > 0).select(F.col(key).alias("_id"), F.col("text_hash").alias("_hash"), "spans")
+    spans = find_spans(docs, text, key).where(F.size("spans") > 0).select(F.col(key).alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
+    found = spans["_spans"]
     joined = docs.join(spans, docs[key].eqNullSafe(spans["_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == spans["_hash"]), "left")
     state = "struct<at:long,out:array<string>>"
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
@@ -102,5 +104,5 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", mask: str =
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), kept.alias("out"))
 
     rest = lambda s: F.array_join(F.concat(s["out"], F.array(F.substring(F.col(text), (s["at"] + 1).cast("int"), F.length(F.col(text))))), mask)
-    masked = F.when(F.col("spans").isNotNull(), F.aggregate("spans", start, step, rest)).otherwise(F.col(text))
+    masked = F.when(found.isNotNull(), F.aggregate(found, start, step, rest)).otherwise(F.col(text))
     return joined.select(*(masked.alias(c) if c == text else docs[c] for c in docs.columns))
