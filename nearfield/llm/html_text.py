@@ -23,6 +23,8 @@ RAW = frozenset("script style xmp iframe noembed noframes textarea title".split(
 HIDDEN = frozenset("head script style template noscript title noembed noframes iframe object audio video canvas svg math datalist select textarea".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 BLOCK = MARGIN | frozenset("address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html legend li main menu nav option search section summary".split())
+#: What may stand in an open head; any other opening tag, and text, closes it.
+IN_HEAD = frozenset("html head base link meta title style script noscript noframes template".split())
 #: An opening tag closes these, if one is open within the tags after the dash.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -75,10 +77,14 @@ class Builder:
         self.open = [self.root]
 
     def text(self, data: str) -> None:
+        if self.open[-1].tag == "head" and data.strip(" \t\n\f\r"):
+            self.open.pop()
         self.open[-1].children.append(data)
 
     def start(self, tag: str, attributes: str, closed: bool) -> None:
-        if tag == "html":
+        if self.open[-1].tag == "head" and tag not in IN_HEAD:
+            self.open.pop()
+        if tag == "html" or tag == "head" and self.open[-1].tag == "head":
             return
         closes, within = CLOSES.get(tag, (None, None))
         if closes:

@@ -191,6 +191,20 @@ def test_html_layout(source, text):
         assert got == text.strip("\n")
 
 
+OPEN_HEADS = [
+    ("<html><head><title>T</title><p>Visible", "Visible"),
+    ("<html><head><meta charset=x><link rel=y><style>p{}</style><script>1</script>\n<base href=z>Bare text<p>more", "Bare text\n\nmore"),
+    ("<head><title>T</title><noscript><link></noscript><template><p>t</template><table><tr><td>a<td>b</table>", "a | b"),
+    ("<head><head></head><div>x</div>", "x"),
+    ("<head><title>T</title></head><body><p>x", "x"),
+]
+
+
+@pytest.mark.parametrize(("source", "text"), OPEN_HEADS)
+def test_html_open_head_ends_at_content(source, text):
+    assert html_text.extract(source) == text
+
+
 def test_html_survives_deep_and_random_markup():
     assert html_text.extract("<div><b><ul><li>" * 3000 + "x").endswith("x")
     r = random.Random(3)
