@@ -8,8 +8,8 @@ predicate lets through. Three ways give the same rows and bits:
 * ``blocked``: one narrow pass over ``base``. Workers compare Arrow batches with
   blocks of queries by matrix products, keep what rounding can't rule out, and
   compute those distances anew term by term. Only the best of each task are shuffled.
-* ``tiles``: for query sets beyond ``QUERY_BYTES``: both sides are dealt to pairs of
-  tiles, so neither is broadcast or collected.
+* ``tiles``: for query sets beyond ``QUERY_BYTES``, also if another way was asked for:
+  both sides are dealt to pairs of tiles, so neither is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -169,14 +169,12 @@ def _tiles_knn(base: DataFrame, queries: DataFrame, k: int, s: Space, dim: int,
 
 
 def choose(pairs: int, query_bytes: int, method: str = "auto") -> str:
-    """The path for so many pairs and bytes of queries."""
+    """The path for so many pairs and bytes of queries; more than may be broadcast go to tiles, whatever the method."""
     if method not in ("auto", "expression", "blocked", "tiles"):
         raise ValueError(f"no method {method!r}")
-    if method != "auto":
-        if method != "tiles" and query_bytes > QUERY_BYTES:
-            raise ValueError(f"{query_bytes} bytes of queries are more than may be broadcast; take 'tiles'")
-        return method
-    return "tiles" if query_bytes > QUERY_BYTES else "expression" if pairs <= FEW_PAIRS else "blocked"
+    if query_bytes > QUERY_BYTES:
+        return "tiles"
+    return method if method != "auto" else "expression" if pairs <= FEW_PAIRS else "blocked"
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int = 1, space: str | Space = "l2", where: Column | str | None = None, method: str = "blocked", on_short: str = "partial", dim: int | None = None) -> DataFrame:

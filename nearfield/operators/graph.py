@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.space import Space
 from nearfield.functions.vectors import matrix
-from nearfield.operators.exact import checked, checked_dim, choose, collected, knn, ranked, size_of
+from nearfield.operators.exact import _query_blocks, checked, checked_dim, collected, knn, ranked
 
 #: Rows of a shard at most, about.
 SHARD = 20_000
@@ -269,9 +269,11 @@ class GraphIndex:
         return cls(spark.read.parquet(path), Space.parse(space), dim, **options)
 
     def _search(self, queries: DataFrame, where: Column | str | None, one: Callable[[Searcher, np.ndarray, pa.Table], list], more: str | None = None) -> DataFrame:
-        s = self.space
         dim, n = checked(queries, self.dim)
-        choose(0, size_of(n, dim), "blocked")
+        return _query_blocks(queries, n, dim, lambda q: self._search_block(q, where, one, more))
+
+    def _search_block(self, queries: DataFrame, where: Column | str | None, one: Callable[[Searcher, np.ndarray, pa.Table], list], more: str | None) -> DataFrame:
+        s, dim = self.space, self.dim
         shared = self.rows.sparkSession.sparkContext.broadcast(collected(queries, dim, s))
         allowed = F.expr(where) if isinstance(where, str) else where
         rows = self.rows.select("shard", F.col("vec_id").cast("long").alias("vec_id"), "embedding", "links", (F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))).alias("allowed"), *([more] if more else []))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.space import Space
 from nearfield.functions.vectors import matrix
-from nearfield.operators.exact import SHAPE, Best, _result, checked, checked_dim, choose, collected, nearest_in, ranked, size_of
+from nearfield.operators.exact import SHAPE, Best, _query_blocks, _result, checked, checked_dim, collected, nearest_in, ranked
 
 #: Rows that centres are fitted on at most: those with the smallest hash of their key.
 SAMPLE = 65_536
@@ -83,11 +83,13 @@ class CellIndex:
     def knn(self, queries: DataFrame, k: int, nprobe: int, where: Column | str | None = None) -> DataFrame:
         """(query_id, vec_id, dist, rank) over the rows of each query's ``nprobe`` cells; exact distances.
 
-        ``nprobe`` of all cells gives the exact result. Queries must be few enough to broadcast.
+        ``nprobe`` of all cells gives the exact result. Queries are broadcast in blocks, each against all rows.
         """
-        s = self.space
         dim, n = checked(queries, self.dim)
-        choose(0, size_of(n, dim), "blocked")
+        return ranked(_query_blocks(queries, n, dim, lambda q: self._knn_block(q, k, nprobe, where)), k)
+
+    def _knn_block(self, queries: DataFrame, k: int, nprobe: int, where: Column | str | None) -> DataFrame:
+        s, dim = self.space, self.dim
         qid, q = collected(queries, dim, s)
         probes = np.zeros((len(q), len(self.centres)), bool)
         if len(q):
@@ -113,4 +115,4 @@ class CellIndex:
             i, found, dist = best.rows()
             yield _result(qid[i], found, dist)
 
-        return ranked(rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("cell").cast("int").alias("cell"), "embedding").mapInArrow(run, SHAPE), k)
+        return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("cell").cast("int").alias("cell"), "embedding").mapInArrow(run, SHAPE)

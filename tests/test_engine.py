@@ -76,6 +76,22 @@ def test_zero_vector_has_cosine_distance_one(spark):
 # --- search ---------------------------------------------------------------
 
 
+def test_more_queries_than_may_be_broadcast(spark, tmp_path, monkeypatch):
+    b = frame(spark, np.random.default_rng(8).normal(size=(60, 4))).coalesce(1)
+    q = exact.as_queries(b)
+    GraphIndex.build(b, dim=4).save(str(tmp_path / "graph"))
+    CellIndex.build(b, 3).save(str(tmp_path / "cells"))
+    graph, cells = GraphIndex.load(spark, str(tmp_path / "graph"), "l2", 4), CellIndex.load(spark, str(tmp_path / "cells"))
+
+    def rows():
+        found = exact.knn(b, q, 3), graph.knn(q, 3, where="vec_id % 30 = 7"), cells.knn(q, 3, 2)
+        return [sorted(map(tuple, df.select("query_id", "vec_id", "dist", "rank").collect())) for df in found]
+
+    want = rows()
+    monkeypatch.setattr(exact, "QUERY_BYTES", 40 * exact.size_of(1, 4))
+    assert rows() == want and [len(x) for x in want] == [180, 120, 180]
+
+
 def test_odd_searches(spark):
     b = frame(spark, np.eye(4))
     q = exact.as_queries(b)
