@@ -205,6 +205,23 @@ def test_html_open_head_ends_at_content(source, text):
     assert html_text.extract(source) == text
 
 
+QUOTES = [
+    ("<p title=it's>Don't miss this <b>sale</b>", "Don't miss this sale"),
+    ("<p title=a\"b>x \"y\" <b>z</b>", "x \"y\" z"),
+    ("<p \"odd>x\">y", "x\">y"),
+    ("<p title = 'a>b' class=\"c>d\"id=e/f>x", "x"),
+    ("<p title=a'hidden'>x<p title=it's hidden>y", "x"),
+    ("<p title=\"open>x", "x"),
+    ("<p title='open hidden>x", ""),
+    ("<p a= >x<p =b>y<p a==>z", "x\n\ny\n\nz"),
+]
+
+
+@pytest.mark.parametrize(("source", "text"), QUOTES)
+def test_html_quotes_in_tags(source, text):
+    assert html_text.extract(source) == text
+
+
 def test_html_survives_deep_and_random_markup():
     assert html_text.extract("<div><b><ul><li>" * 3000 + "x").endswith("x")
     r = random.Random(3)
