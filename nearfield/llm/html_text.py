@@ -20,9 +20,9 @@ from nearfield.llm.common import slices, strings
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = frozenset("head script style template noscript title noembed noframes iframe object audio video canvas svg math datalist select textarea".split())
+HIDDEN = frozenset("head script style template noscript title noembed noframes iframe object audio video canvas datalist defs symbol clippath mask pattern marker desc metadata annotation annotation-xml mphantom".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
-BLOCK = MARGIN | frozenset("address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html legend li main menu nav option search section summary".split())
+BLOCK = MARGIN | frozenset("address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html legend li main menu nav mtr option search section summary".split())
 #: What may stand in an open head; any other opening tag, and text, closes it.
 IN_HEAD = frozenset("html head base link meta title style script noscript noframes template".split())
 #: An opening tag closes these, if one is open within the tags after the dash.
@@ -45,6 +45,8 @@ CLOSES = {
 NEEDS = {"td": "tr", "th": "tr"}
 #: Closing tags don't reach beyond these.
 SCOPE = frozenset("table td th caption html template".split())
+#: Columns that a cell can keep in the rows below, by which blanks stay bounded; and its rows.
+SPANNED, ROWS = 1000, 65534
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
 
 #: A quote opens a value only right after '='; other values end at white space or '>'.
@@ -182,6 +184,56 @@ def hidden(node: Node) -> bool:
     return bool(style and UNSEEN.search(style)) or node.tag == "input"
 
 
+def _inside(node: Node, wanted: frozenset, skip: bool) -> Iterator[Node]:
+    """The topmost wanted elements in a node, in order; without what is hidden, if ``skip``."""
+    todo = [x for x in reversed(node.children) if isinstance(x, Node)]
+    while todo:
+        x = todo.pop()
+        if skip and hidden(x):
+            continue
+        if x.tag in wanted:
+            yield x
+        else:
+            todo += [y for y in reversed(x.children) if isinstance(y, Node)]
+
+
+def drawn(svg: Node) -> list:
+    """The texts of a drawing, apart by blanks; other character data in it isn't shown."""
+    return [y for x in _inside(svg, frozenset(("text", "foreignobject")), True) for y in (" ", x)][1:]
+
+
+def _label(node: Node) -> str:
+    """The label or else the text of an option, escaped as in the source."""
+    label = node.attribute("label")
+    if label or node.tag == "optgroup":
+        return html.escape(label or "", quote=False)
+    out, todo = [], list(reversed(node.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x.tag not in ("script", "style"):
+            todo += reversed(x.children)
+    return "".join(out)
+
+
+def chosen(select: Node) -> list:
+    """What a browser shows of a field: all options of a list box, else the selected or the first one that can be."""
+    options = []  # (option, whether it is disabled), or an option group
+    for x in _inside(select, frozenset(("option", "optgroup")), False):
+        off = x.tag == "optgroup" and x.attribute("disabled") is not None
+        options += [(x, True), *((y, off or y.attribute("disabled") is not None) for y in _inside(x, frozenset(("option",)), False))] if x.tag == "optgroup" else [(x, x.attribute("disabled") is not None)]
+    rows = select.attribute("size") or ""
+    if select.attribute("multiple") is not None or re.fullmatch(r"\d{1,9}", rows) and int(rows) > 1:
+        out = [Node("option") for x, _ in options if not hidden(x)]
+        for new, text in zip(out, [_label(x) for x, _ in options if not hidden(x)], strict=True):
+            new.children.append(text)
+        return out
+    only = [(x, off) for x, off in options if x.tag == "option"]
+    marked = [x for x, _ in only if x.attribute("selected") is not None][-1:]
+    return [_label(x) for x in marked or [x for x, off in only if not off][:1]]
+
+
 class Flow:
     """Text being laid out: lines with collapsed white space, blank lines between blocks with margins."""
 
@@ -194,6 +246,9 @@ class Flow:
 
     def write(self, data: str, pre: bool) -> None:
         if pre:
+            if self.space and self.line:
+                self._add(" ")
+            self.space = False
             first, *rest = data.split("\n")
             self._add(first)
             for x in rest:
@@ -241,6 +296,27 @@ def width(s: str) -> int:
     return len(s) if s.isascii() else sum(2 if east_asian_width(c) in "WF" else 1 for c in s)
 
 
+def spread(rows: list[list[tuple[str, int, int]] | None]) -> list[list[tuple[str, int]]]:
+    """(text, columns) by row, with empty cells where cells of rows above reach down to; None ends a group of rows and what reaches out of it."""
+    out, until = [], {}
+    for row in rows:
+        if row is None:
+            until = {}
+            continue
+        n, at = len(out), 0
+        cells = []
+        for text, span, down in row:
+            while until.get(at, 0) > n:
+                cells.append(("", 1))
+                at += 1
+            cells.append((text, span))
+            if down > 1:
+                until.update((c, max(n + down, until.get(c, 0))) for c in range(at, min(at + span, SPANNED)))
+            at += span
+        out.append(cells)
+    return out
+
+
 def grid(rows: list[list[tuple[str, int]]]) -> list[str]:
     """Lines of a table: cells of a column start at one place; cells may span columns and have several lines."""
     widths: list[int] = []
@@ -286,6 +362,8 @@ def render(root: Node) -> str:
                 tables.append([])
             elif tag == "tr" and tables:
                 tables[-1].append([])
+            elif tag in ("thead", "tbody", "tfoot") and tables:
+                tables[-1].append(None)
             elif tag in ("td", "th", "caption") and tables:
                 flows.append(Flow())
             elif tag in BLOCK:
@@ -302,11 +380,19 @@ def render(root: Node) -> str:
                     flow.indent += "    "
                 elif tag == "pre":
                     pre += 1
+            elif tag == "textarea":
+                pre += 1
+            elif tag == "mtd":
+                flow.write(" ", False)
             todo.append((node, False))
             children = node.children
             if tag == "details" and node.attribute("open") is None:
                 children = [x for x in children if isinstance(x, Node) and x.tag == "summary"][:1]
-            elif tag == "pre" and children and isinstance(children[0], str) and children[0].startswith("\n"):
+            elif tag == "svg":
+                children = drawn(node)
+            elif tag == "select":
+                children = chosen(node)
+            elif tag in ("pre", "textarea") and children and isinstance(children[0], str) and children[0].startswith("\n"):
                 children = [children[0][1:], *children[1:]]
             elif tag in ("table", "tbody", "thead", "tfoot", "tr", "ul", "ol"):
                 children = [x for x in children if isinstance(x, Node) or x.strip()]
@@ -315,19 +401,25 @@ def render(root: Node) -> str:
             text = flows.pop().text()
             span = node.attribute("colspan") or ""
             span = min(1000, max(1, int(span))) if re.fullmatch(r"\d{1,9}", span) else 1
+            down = node.attribute("rowspan") or ""
+            down = min(ROWS, int(down) or ROWS) if re.fullmatch(r"\d{1,9}", down) else 1
             if tag == "caption":
                 for x in text.split("\n") if text else []:
                     flows[-1].write(x, True)
                     flows[-1].block(False)
             else:
-                if not tables[-1]:
+                if not tables[-1] or tables[-1][-1] is None:
                     tables[-1].append([])
-                tables[-1][-1].append((text, span))
+                tables[-1][-1].append((text, span, down))
         elif tag == "table" and tables:
-            for line in grid(tables.pop()):
+            for line in grid(spread(tables.pop())):
                 flow.write(line, True)
                 flow.block(False)
             flow.block(True)
+        elif tag in ("thead", "tbody", "tfoot") and tables:
+            tables[-1].append(None)
+        elif tag == "textarea":
+            pre -= 1
         elif tag == "q":
             pass
         elif tag in BLOCK:

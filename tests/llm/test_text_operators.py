@@ -222,6 +222,23 @@ def test_html_quotes_in_tags(source, text):
     assert html_text.extract(source) == text
 
 
+FIELDS = [
+    ("a <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>tex</annotation></math> b", "a x+1 b"),
+    ("<svg><title>t</title><defs><text>no</text></defs>raw<g><text>L<tspan>1</tspan></text><text>L2</text></g></svg> z", "L1 L2 z"),
+    ("Say: <textarea>\na  b\n<i>c &amp; d</textarea> e", "Say: a  b\n<i>c & d e"),
+    ("Size <select><option disabled>pick<option>S<option selected>M &amp; L<option>XL</select>.", "Size M & L."),
+    ("<select><option disabled>pick<optgroup label=g><option>S<option>M</select>", "S"),
+    ("<select multiple><option>S<optgroup label=g><option label=N>M</select>", "S\ng\nN"),
+    ("<table><tr><td rowspan=2>aa<td>b<td>c<tr><td>d<td>e<tr><td>f</table>", "aa | b | c\n   | d | e\nf"),
+    ("<table><tr><td>a<td rowspan=0 colspan=2>b<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g</table>", "a | b    | c\nd |   |  | e\nf | g"),
+]
+
+
+@pytest.mark.parametrize(("source", "text"), FIELDS)
+def test_html_fields_drawings_and_spans(source, text):
+    assert html_text.extract(source) == text
+
+
 def test_html_survives_deep_and_random_markup():
     assert html_text.extract("<div><b><ul><li>" * 3000 + "x").endswith("x")
     r = random.Random(3)
