@@ -10,6 +10,7 @@ truncation and budget questions are then look-ups; no text is encoded twice.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -21,9 +22,6 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import slices, strings
 from nearfield.llm.piece_codec import ChunkTable, marked_chunks, model_path
 
-#: Chunk prefixes are solved piece by piece up to this length; beyond, the library encodes each asked prefix.
-DP_CHARS = 4096
-
 
 class CountTable(ChunkTable):
     """Entries: the number of tokens of a chunk."""
@@ -52,26 +50,28 @@ class CountTable(ChunkTable):
         return self.pairs[key]
 
     def inside(self, chunk: str) -> list[int]:
-        """Tokens of every prefix of a chunk, 0 characters included."""
-        total = len(self.ids([chunk])[0])
-        if len(chunk) <= DP_CHARS:
-            n, last = [0], [""]
-            for i in range(1, len(chunk) + 1):
-                for j in range(max(0, i - self.longest), i):
-                    piece = chunk[j:i]
-                    if i - j == 1 and self.sp.piece_to_id(piece) == self.sp.unk_id():
-                        n.append(n[j] + len(piece.encode()))
-                        last.append("")
-                        break
-                    if self.sp.piece_to_id(piece) != self.sp.unk_id() and (self._whole(last[j], piece) if last[j] else self._whole(piece)):
-                        n.append(n[j] + 1)
-                        last.append(piece)
-                        break
-                else:
+        """Tokens of every prefix of a chunk, 0 characters included.
+
+        If the recurrence doesn't come to the library's count of the chunk, the
+        library encodes its prefixes one by one: exact, but in quadratic time.
+        """
+        n, size = array("q", [0]), array("q", [0])  # tokens of each prefix and the length of its last piece, 0 if unknown
+        for i in range(1, len(chunk) + 1):
+            for j in range(max(0, i - self.longest), i):
+                piece = chunk[j:i]
+                if i - j == 1 and self.sp.piece_to_id(piece) == self.sp.unk_id():
+                    n.append(n[j] + len(piece.encode()))
+                    size.append(0)
                     break
-            if len(n) == len(chunk) + 1 and n[-1] == total:
-                return n
-        return [0, *map(len, self.ids([chunk[:i] for i in range(1, len(chunk) + 1)]))]
+                if self.sp.piece_to_id(piece) != self.sp.unk_id() and (self._whole(chunk[j - size[j] : j], piece) if size[j] else self._whole(piece)):
+                    n.append(n[j] + 1)
+                    size.append(i - j)
+                    break
+            else:
+                break
+        if len(n) == len(chunk) + 1 and n[-1] == len(self.ids([chunk])[0]):
+            return n.tolist()
+        return [0, *(len(self.ids([chunk[:i]])[0]) for i in range(1, len(chunk) + 1))]
 
 
 class PrefixCounts:

@@ -49,6 +49,20 @@ def test_prefix_counts_equal_library(sp):
             assert p.fit(budget) == max(i for i, n in enumerate(want) if n <= budget)
 
 
+def test_prefix_counts_of_a_long_chunk_encode_it_once(sp, monkeypatch):
+    r = random.Random(2)
+    t = "".join(r.choice("abcdeinorst") for _ in range(9000))
+    counter, encoded = token_counts.CountTable(piece_codec.model_path()), []
+    ids = counter.ids
+    monkeypatch.setattr(counter, "ids", lambda chunks: encoded.extend(map(len, chunks)) or ids(chunks))
+    p = counter.prefixes(t)
+    places = [1, 2, 700, 4095, 4097, 8999, 9000]
+    assert [p.at(i) for i in places] == [len(sp.encode(t[:i])) for i in places]
+    fit = p.fit(2000)
+    assert len(sp.encode(t[:fit])) <= 2000 < len(sp.encode(t[: fit + 1]))
+    assert sum(encoded) <= 2 * 9001
+
+
 def test_registered_text_queries(spark, sf, sp):
     docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
     got = {r.doc_id: r for r in queries.op8_sentencepiece(spark, sf).collect()}
