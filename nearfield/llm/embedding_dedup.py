@@ -31,6 +31,8 @@ THRESHOLD = 0.98
 TILE, STEP, ROWS = 8192, 16, 256
 #: Room for the rounding of bounds; decisions are taken without it.
 SLACK = 1e-9
+#: Lengths of vectors up to which each has a pass of its own.
+LENGTHS = 16
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -143,10 +145,13 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, tile: int = T
     classes = keyed.where("key is not null").groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     # classes of one label whose smallest ids are equal would be one node: nodes are numbered by key
     classes = checkpointed(classes.withColumn("dim", F.size("embedding")))
-    dims = [r["dim"] for r in classes.select("dim").distinct().limit(1000).collect()]
-    if len(dims) == 1000:
-        raise ValueError("vectors of a thousand lengths or more")
-    found = [_compare(classes.where(F.col("dim") == d), d, threshold, tile) for d in dims]
+    dims = [r["dim"] for r in classes.select("dim").distinct().limit(LENGTHS + 1).collect()]
+    rest = []
+    if len(dims) > LENGTHS:  # only lengths that fill a tile in some label have a pass of their own
+        sizes = classes.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("most"))
+        dims = [r["dim"] for r in sizes.where(F.col("most") > tile).collect()]
+        rest = [_compare_small(classes.where(~F.col("dim").isin(dims)) if dims else classes, threshold)]
+    found = [*(_compare(classes.where(F.col("dim") == d), d, threshold, tile) for d in dims), *rest]
     if found:
         linked = found[0]
         for f in found[1:]:
@@ -165,6 +170,32 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, tile: int = T
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
+def _links(group: pa.Table, dim: int, axes: np.ndarray, threshold: float, n: int | None = None) -> pa.Table:
+    """(a, b, n) of the links inside a group, or of its first ``n`` rows with the others."""
+    vectors, keys, copies = _matrix(group["embedding"], dim), group["key"], group["copies"].to_numpy()
+    two = n is not None
+    counts, forest = np.zeros(len(vectors), np.int64), Forest(len(vectors))
+    for i, j in compare_tiles(vectors[:n], vectors[n:] if two else None, axes, threshold):
+        j = j + n if two else j
+        np.add.at(counts, i, copies[j])
+        np.add.at(counts, j, copies[i])
+        forest.link(i, j)
+    at = np.nonzero(counts)[0]
+    return pa.table([keys.take(pa.array(at)).cast(pa.string()), keys.take(pa.array(forest.parent[at])).cast(pa.string()), pa.array(counts[at])], ["a", "b", "n"])
+
+
+def _compare_small(classes: DataFrame, threshold: float) -> DataFrame:
+    """As ``_compare``, for labels and lengths of a tile's classes at most: one task each, on the axes as given."""
+
+    def run(group: pa.Table) -> pa.Table:
+        dim = group["dim"][0].as_py()
+        if len(group) == 1:  # links with nothing
+            return pa.table([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.int64())], ["a", "b", "n"])
+        return _links(group, dim, np.eye(dim), threshold)
+
+    return classes.groupBy("label", "dim").applyInArrow(run, "a string, b string, n bigint")
+
+
 def _compare(classes: DataFrame, dim: int, threshold: float, tile: int) -> DataFrame:
     """(a, b, n): a class, one that it is connected with (or itself), and how many rows it links with, from each task."""
     axes = principal_axes(classes, dim)
@@ -202,16 +233,8 @@ def _compare(classes: DataFrame, dim: int, threshold: float, tile: int) -> DataF
         order = np.argsort(group["side"].to_numpy(), kind="stable")
         side = group["side"].to_numpy()[order]
         group = group.take(pa.array(order))
-        vectors, keys, copies = _matrix(group["embedding"], dim), group["key"], group["copies"].to_numpy()
         n = int((side == 0).sum())
         two = any(group[c][0].as_py() != group[c + "2"][0].as_py() for c in "xyt")  # even if one has no rows
-        counts, forest = np.zeros(len(side), np.int64), Forest(len(side))
-        for i, j in compare_tiles(vectors[:n], vectors[n:] if two else None, axes, threshold):
-            j = j + n if two else j
-            np.add.at(counts, i, copies[j])
-            np.add.at(counts, j, copies[i])
-            forest.link(i, j)
-        at = np.nonzero(counts)[0]
-        return pa.table([keys.take(pa.array(at)).cast(pa.string()), keys.take(pa.array(forest.parent[at])).cast(pa.string()), pa.array(counts[at])], ["a", "b", "n"])
+        return _links(group, dim, axes, threshold, n if two else None)
 
     return dealt.groupBy("label", "x", "y", "t", "x2", "y2", "t2").applyInArrow(run, "a string, b string, n bigint")

@@ -78,6 +78,17 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, dim, tile):
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_embeddings_of_a_thousand_lengths(spark):
+    rows = [(2 * d + i, [float(i + 1)] * d, 0) for d in range(1, 1011) for i in (0, 1)]
+    rows += [(9000 + i, [1.0, float(i), 0.0, 5.0], 1) for i in range(12)] + [(9100, [1.0, 1.0, 0.0, 5.0], 0)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(8)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(frame, tile=10).collect()}
+    assert len(got) == len(rows)
+    assert all(got[2 * d + i] == (1, 2 * d) for d in range(1, 1011) for i in (0, 1))
+    alone = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(frame.where("label = 1")).collect()}
+    assert got[9100] == (0, 9100) and {k: v for k, v in got.items() if 9000 <= k < 9100} == alone
+
+
 # --- n-grams --------------------------------------------------------------
 
 
