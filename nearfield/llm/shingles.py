@@ -1,30 +1,26 @@
-"""Word shingles of whole texts as sets of 64-bit hashes, for whole batches at a time.
+"""Word shingles of whole texts, for whole batches at a time.
 
 Words are runs of digits, a-z and anything beyond ASCII of the lower-cased text;
 a shingle is five consecutive words. A text of fewer words, but not none, has one
 shingle of all its words; a text without words has none.
+
+``hashed_sets`` names shingles by 128 bits that come from the words' MD5 digests;
+``exact_sets`` numbers them by their words themselves, for the texts of one task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import string
 
 import numpy as np
 
 WORDS = 5
-_M = np.uint64(0x9E3779B97F4A7C15)
-_R = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2**64
-
-
-def _is_word() -> np.ndarray:
-    t = np.ones(256, bool)
-    t[:0x80] = False
-    for lo, hi in (("0", "9"), ("a", "z"), ("A", "Z")):
-        t[ord(lo) : ord(hi) + 1] = True
-    return t
-
-
-IS_WORD = _is_word()
+#: Distinct words whose digests a table holds.
+HELD = 1 << 18
+# ASCII characters that are no part of a word become blanks, which split() splits at.
+_BETWEEN = "".join(map(chr, range(128))).translate(str.maketrans("", "", string.digits + string.ascii_letters)).encode()
+_BLANKS = bytes.maketrans(_BETWEEN, b" " * len(_BETWEEN))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,85 +32,111 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
+def split_words(text: str) -> list[bytes]:
+    """The words of a text in UTF-8."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_BLANKS).split()
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(1 << 16, 1 << (n - 1).bit_length())
-            inverse = pow(_R, -1, 1 << 64)
-            self.up, self.down = (np.full(size, r, np.uint64) for r in (_R, inverse))
-            for table in (self.up, self.down):
-                table[0] = 1
-                np.cumprod(table, out=table)
-        return self.up[:n], self.down[:n]
-
-
-_powers = _Powers()
-
-
-#: Bytes that are hashed at a time; longer words are hashed one by one.
-PIECE = 1 << 20
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word of ``data`` (lower-cased UTF-8)."""
-    if len(data) <= PIECE:
-        return _piece_hashes(np.frombuffer(data, np.uint8))
-    b, at, hashes, first = np.frombuffer(data, np.uint8), 0, [], []
-    while at < len(b):
-        end = min(len(b), at + PIECE)
-        gaps = np.flatnonzero(~IS_WORD[b[at:end]])
-        if end < len(b) and not len(gaps):  # a word longer than a piece
-            while end < len(b) and IS_WORD[b[end]]:
-                step = np.flatnonzero(~IS_WORD[b[end : end + PIECE]])
-                end = end + int(step[0]) if len(step) else min(len(b), end + PIECE)
-            found = np.frombuffer(hashlib.md5(data[at:end]).digest()[:8], np.uint64), np.zeros(1, np.int64)
-        else:
-            end = end if end == len(b) else at + int(gaps[-1]) + 1
-            found = _piece_hashes(b[at:end])
-        hashes.append(found[0])
-        first.append(found[1] + at)
-        at = end
-    return np.concatenate(hashes), np.concatenate(first)
-
-
-def _piece_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    w = np.concatenate([[False], IS_WORD[b], [False]])
-    edge = np.flatnonzero(w[1:] != w[:-1])
-    first, last = edge[::2], edge[1::2]
-    if not len(first):
-        return np.empty(0, np.uint64), first
-    up, down = _powers.upto(len(b) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
-    out = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * _M)
-    for i in np.flatnonzero(last - first >= PIECE).tolist():  # as where it is met in longer data
-        out[i] = np.frombuffer(hashlib.md5(b[first[i] : last[i]].tobytes()).digest()[:8], np.uint64)[0]
-    return out, first
+        self.new: list[bytes] = []
 
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        n = self[word] = len(self)
+        return n
 
-def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    coded = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-    hashes, first = word_hashes(b"\0".join(coded) + b"\0")
-    ends = np.cumsum([len(c) + 1 for c in coded])
-    cuts = np.concatenate([[0], np.searchsorted(first, ends)])
-    out = []
-    with np.errstate(over="ignore"):
-        weights = [np.uint64(pow(_R, k + 1, 1 << 64)) for k in range(words)]
-        n = len(hashes)
-        whole = np.zeros(max(0, n - words + 1), np.uint64)
-        for k in range(words):
-            whole += hashes[k : k + len(whole)] * weights[k]
-        whole = mix(whole)
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if b - a >= words:
-                s = whole[a : b - words + 1]
-            elif b > a:
-                s = mix(sum((hashes[a + k] * weights[k] for k in range(b - a)), np.zeros(1, np.uint64)) + np.uint64(b - a))
-            else:
-                s = whole[:0]
-            s = np.sort(s)
-            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s)
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+class WordTable:
+    """The digests of a bounded number of words, as two 64-bit hashes."""
+
+    def __init__(self, size: int = HELD) -> None:
+        self.size, self.numbers, self.digests = size, _Numbers(), np.empty((0, 2), np.uint64)
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        """(words, 2) hashes."""
+        if len(self.numbers) > self.size:
+            self.numbers, self.digests = _Numbers(), np.empty((0, 2), np.uint64)
+        at = self.numbers.of(words)
+        if self.numbers.new:
+            more = b"".join([hashlib.md5(w).digest() for w in self.numbers.new])
+            self.digests = np.concatenate([self.digests, np.frombuffer(more, np.uint64).reshape(-1, 2)])
+            self.numbers.new.clear()
+        return self.digests[at]
+
+
+def _chained(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every ``n`` consecutive words, none of a word's bits combining linearly with another's."""
+    out = np.full((max(0, len(h) - n + 1), 2), n, np.uint64)
+    for k in range(n):
+        out = mix((out ^ h[k : k + len(out)]) + np.uint64(0x9E3779B97F4A7C15))
     return out
+
+
+def hashed_sets(texts: list[str], words: int = WORDS, table: WordTable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of all texts, (shingles, 2) hashes sorted within each text, and where each text's begin and the last ones end."""
+    table = table or WordTable()
+    split = [split_words(t) for t in texts]
+    sizes = np.array([len(w) for w in split], np.int64)
+    h = table.hashes([w for part in split for w in part])
+    first = np.cumsum(sizes) - sizes
+    whole = _chained(h, words)
+    each = np.maximum(0, sizes - words + 1)
+    owner = np.repeat(np.arange(len(texts)), each)
+    at = np.arange(each.sum()) + np.repeat(first - (np.cumsum(each) - each), each)
+    short = np.flatnonzero((sizes > 0) & (sizes < words))
+    found = [whole[at], *(_chained(h[first[i] : first[i] + sizes[i]], int(sizes[i])) for i in short)]
+    owner, found = np.concatenate([owner, short]), np.concatenate(found)
+    # one sort by text and the hash's upper bits; that and the rest only where these don't tell all apart
+    bits = np.uint64(max(1, len(texts)).bit_length())
+    short_key = owner.astype(np.uint64) << (np.uint64(64) - bits) | found[:, 0] >> bits
+    order = np.argsort(short_key)
+    key, a, b = short_key[order], found[order, 0], found[order, 1]
+    if ((key[1:] == key[:-1]) & ((a[1:] != a[:-1]) | (b[1:] != b[:-1]))).any():
+        order = np.lexsort((found[:, 1], found[:, 0], owner))
+    owner, found = owner[order], found[order]
+    new = np.ones(len(found), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1]).any(1)
+    return found[new], np.searchsorted(owner[new], np.arange(len(texts) + 1))
+
+
+def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
+    """The first hashes of each text's shingles, sorted."""
+    found, cut = hashed_sets(texts, words)
+    return [found[a:b, 0] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
+def exact_sets(texts: list[list[bytes]], words: int = WORDS) -> list[np.ndarray]:
+    """Numbers of each text's distinct shingles, sorted; two shingles have one number if their words are equal, not only their hashes."""
+    numbers = _Numbers()
+    w = numbers.of([x for part in texts for x in part])
+    sizes = np.array([len(part) for part in texts], np.int64)
+    first = np.cumsum(sizes) - sizes
+    known: dict[int, np.ndarray] = {1: w}
+
+    def code(n: int) -> np.ndarray:
+        """A number for every ``n`` consecutive words."""
+        if n not in known:
+            a, b = code(n // 2), code(n - n // 2)
+            size = max(0, len(w) - n + 1)
+            pairs = a[:size] * (int(b.max(initial=0)) + 1) + b[n // 2 : n // 2 + size]
+            known[n] = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
+        return known[n]
+
+    whole = code(words)
+    each = np.maximum(0, sizes - words + 1)
+    at = np.arange(each.sum()) + np.repeat(first - (np.cumsum(each) - each), each)
+    owner, found = np.repeat(np.arange(len(texts)), each), whole[at]
+    short = np.flatnonzero((sizes > 0) & (sizes < words))
+    if len(short):  # numbered after all others
+        named: dict[bytes, int] = {}
+        more = [len(w) + named.setdefault(b" ".join(texts[i]), len(named)) for i in short.tolist()]
+        owner, found = np.concatenate([owner, short]), np.concatenate([found, np.array(more, np.int64)])
+    pairs = np.unique(owner * (2 * len(w) + 1) + found)
+    owner, found = pairs // (2 * len(w) + 1), pairs % (2 * len(w) + 1)
+    return np.split(found, np.searchsorted(owner, np.arange(1, len(texts)))) if texts else []

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from nearfield.llm import common, embedding_dedup, ngram_forest
+from nearfield.llm import common, embedding_dedup, ngram_forest, shingles
 from nearfield.llm.shingles import shingle_sets
 
 
@@ -92,11 +92,11 @@ def test_embeddings_of_a_thousand_lengths(spark):
 # --- n-grams --------------------------------------------------------------
 
 
-def plain_shingles(text):
+def plain_shingles(text, words=5):
     import re
 
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
-    n = min(5, len(w))
+    n = min(words, len(w))
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
 
 
@@ -113,16 +113,35 @@ def test_shingles_equal_plain_sets():
     assert all((a == b).all() for a, b in zip(alone, sets, strict=True))
 
 
-def test_pieces_of_long_texts(monkeypatch):
-    from nearfield.llm import shingles
+def test_words_that_polynomials_confuse():
+    """The Thue-Morse word of 1024 letters and its complement, which have one hash modulo 2**64 for any multiplier."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    a, b = shingle_sets([word, word.translate(str.maketrans("ab", "ba"))])
+    assert len(a) == len(b) == 1 and a[0] != b[0]
 
+
+def test_word_tables_that_overflow():
     r = random.Random(8)
-    texts = ["".join(r.choice("ab é.") for _ in range(r.randrange(400))) for _ in range(40)] + ["x" * 90 + " y z " + "w" * 300, "x" * 90, "é" * 200]
-    monkeypatch.setattr(shingles, "PIECE", 64)
-    cut = shingle_sets(texts)
-    alone = [shingle_sets([t])[0] for t in texts]
-    assert all((a == b).all() for a, b in zip(cut, alone, strict=True))
-    assert [len(s) for s in cut] == [len(plain_shingles(t)) for t in texts]
+    texts = ["".join(r.choice("ab é.") for _ in range(r.randrange(400))) for _ in range(40)] + ["x" * 90 + " y z " + "w" * 300, "é" * 200]
+    small = shingles.WordTable(3)
+    for i in range(0, len(texts), 5):
+        found, cut = shingles.hashed_sets(texts[i : i + 5], 5, small)
+        again, same = shingles.hashed_sets(texts[i : i + 5])
+        assert (found == again).all() and (cut == same).all()
+
+
+def test_exact_sets_equal_plain_sets():
+    r = random.Random(4)
+    texts = ["", "a", "A b", "one two three four five", *(" ".join(r.choice(["a", "B", "cc", "é"]) for _ in range(r.randrange(30))) for _ in range(120))]
+    for n in (1, 2, 5):
+        sets = shingles.exact_sets([shingles.split_words(t) for t in texts], n)
+        plain = [plain_shingles(t, n) for t in texts]
+        assert [len(s) for s in sets] == [len(p) for p in plain]
+        for a in range(0, len(texts), 5):
+            for b in range(len(texts)):
+                assert len(np.intersect1d(sets[a], sets[b])) == len(plain[a] & plain[b])
 
 
 @pytest.mark.parametrize("frequent", [2, 5, 24])
@@ -192,6 +211,58 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, tile, node):
     assert ngram_forest.jaccard_join(frame.limit(0)).count() == 0
 
 
-def test_depth_shortens_to_the_target():
+def test_confusing_words_stay_apart(spark):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    frame = spark.createDataFrame([(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, "other words")], "doc_id bigint, text string")
+    assert sorted(x.doc_id for x in ngram_forest.without_near_duplicates(frame).collect()) == [1, 2, 3]
+
+
+def test_prefixes_are_as_short_as_the_target_needs():
     assert ngram_forest.depth_for(0.8) == 4 and ngram_forest.depth_for(0.99) == ngram_forest.MAX_DEPTH
     assert 1 - (1 - 0.8**4) ** ngram_forest.TRIES >= ngram_forest.TARGET > 1 - (1 - 0.8**5) ** ngram_forest.TRIES
+    assert ngram_forest.first_depth(0.8, 4) == 8
+    none, last = [0] * ngram_forest.BINS, ngram_forest.BINS - 1
+    need = lambda links: ngram_forest.needed_depth([*links], 8, 4, 0.8)
+    assert need(none) == 4  # nothing is known of links near the threshold
+    copies, far = list(none), list(none)
+    copies[last], far[0] = 10**7, 10**4
+    assert need(copies) == 8 and need(far) == 4
+    assert ngram_forest.needed_depth(far, 5, 4, 0.8, target=0.9) == 5
+
+
+@pytest.mark.parametrize("node", [ngram_forest.NODE, 4])
+def test_trie_edges_connect_each_node(monkeypatch, node):
+    monkeypatch.setattr(ngram_forest, "NODE", node)
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(r.integers(2, 14))
+        levels = r.integers(0, 2, (n, ngram_forest.LEVELS)).astype(np.uint64)
+        tails = np.sort(sum(levels[:, k] << np.uint64(48 - 16 * k) for k in range(ngram_forest.LEVELS)).view(np.int64))
+        sketches = np.zeros((n, 4), np.uint64) if r.random() < 0.5 or node < n else (np.uint64(0) - r.integers(0, 2, (n, 1)).astype(np.uint64)).repeat(4, 1)
+        i, j, k = ngram_forest.trie_edges(tails, sketches, 40)
+        assert len(i) < n
+        for level in range(ngram_forest.LEVELS + 1):
+            cut = tails.view(np.uint64) >> np.uint64(64 - 16 * level) if level else np.zeros(n, np.uint64)
+            want = [(a, b) for a in range(n) for b in range(a) if cut[a] == cut[b] and (sketches[a] == sketches[b]).all()]
+            assert plain_components(n, [(a, b) for a, b, c in zip(i, j, k, strict=True) if c >= level]) == plain_components(n, want)
+
+
+def test_recall_by_similarity(spark):
+    """Pairs of every similarity from the threshold on meet, though prefixes start at their longest."""
+    r = random.Random(12)
+    rows = []
+    for i in range(600):
+        w = [f"{i}w{k}" for k in range(104)]
+        x = list(w)
+        for at in r.sample(range(0, 100, 5), i % 3):
+            x[at + 2] = f"n{i}x{at}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(x))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    sets = {i: plain_shingles(t) for i, t in rows}
+    linked = {r.doc_id for r in ngram_forest.jaccard_join(frame).where("n_links = 1").collect()}
+    for i in range(600):
+        a, b = sets[2 * i], sets[2 * i + 1]
+        want = 5 * len(a & b) >= 4 * len(a | b)
+        assert (2 * i in linked, 2 * i + 1 in linked) == (want, want)
