@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,20 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut.
-
-    The session's ``spark.checkpoint.dir`` is used; a folder of this machine is
-    set only where none is configured, as in local tests.
-    """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="nearfield-"))
+    """``df`` written to the shared checkpoint folder, its lineage cut."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def row_key(key: str, text: Column | str) -> Column:
-    """A key that also tells rows apart that repeat ``key`` with another text; equal rows share it."""
-    return F.xxhash64(F.col(key), F.lit("|"), text)
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table that a job writes and reads again, in the folder that ``spark.checkpoint.dir`` names."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4()}"
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. A folder of this machine stands in only where driver and executors are one process, as in tests; else ``RuntimeError``."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="nearfield-")
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:

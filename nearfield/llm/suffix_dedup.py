@@ -1,4 +1,4 @@
-"""Repeated byte strings, by longest-previous-factor tests in suffix order.
+"""Repeated byte strings, by longest-previous-factor arrays in suffix order.
 
 A position is covered if a string of ``length`` bytes over it also starts
 elsewhere. All suffixes of a corpus can't be sorted at once, so suffixes are
@@ -7,18 +7,21 @@ brought together by anchors:
 1. Every string of ``length`` bytes has an anchor: its substring of ``GRAM`` bytes
    with the least hash, the first of equals. Equal strings have equal anchors at
    the same place. Strings of a document with one anchor form a run.
-2. Runs are shuffled by their anchor, as hashes only. Runs with equal contents
-   repeat as a whole. Runs whose anchor occurs with other contents may repeat in
-   part: these, and one of each content that repeats, are looked at byte by byte.
+2. Runs are counted by anchor and by the digest of their bytes, in parts on each
+   task first, so that a passage of very many documents is one row a task. Runs
+   of one digest repeat as a whole. Anchors that occur with several contents may
+   repeat in part: one run of each content is looked at byte by byte.
 3. Their contents are joined to one text for each slice of anchors. Prefix
-   doubling ranks its suffixes up to ``length`` bytes; suffixes of one rank are
-   neighbours in suffix order with a common prefix of ``length`` or more. In order
-   of (rank, position), a suffix's predecessor of equal rank is the nearest
-   smaller position there, so its longest previous factor reaches ``length`` just
-   where there is one, and it is the first copy where there is none.
-
-Anchors with more than ``HOT`` contents are decided by counting hashes of their
-strings instead, so that no task needs to hold them.
+   doubling sorts its suffixes, cut to ``length`` bytes; common prefixes of
+   neighbours and, for each suffix, the previous and the next one in suffix order
+   that start at a smaller position give the longest previous factor of every
+   position and where it started before. A string whose factor has ``length``
+   bytes is a later copy; its source is an earlier one. ``keep_first`` removes the
+   later copies only, else the sources go too.
+
+Anchors with more than ``HOT`` contents are dealt string by string instead, by the
+strings' digests, so that no task needs to hold them; the first of equal strings
+by place is then the one without a previous factor.
 """
 
 from __future__ import annotations
@@ -30,11 +33,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import checkpointed, slices, strings
-from nearfield.llm.shingles import _powers, mix
+from nearfield.llm.common import checkpointed, join_by_class, shared_path, slices, strings
+from nearfield.llm.shingles import mix
 
 LENGTH, GRAM = 200, 32
 #: Bytes that are hashed at a time, bytes of contents that are ranked at a time.
@@ -44,6 +47,27 @@ HOT = 20_000
 _LOW = np.uint64((1 << 24) - 1)
 
 
+_R = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2**64
+
+
+class _Powers:
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(1 << 16, 1 << (n - 1).bit_length())
+            inverse = pow(_R, -1, 1 << 64)
+            self.up, self.down = (np.full(size, r, np.uint64) for r in (_R, inverse))
+            for table in (self.up, self.down):
+                table[0] = 1
+                np.cumprod(table, out=table)
+        return self.up[:n], self.down[:n]
+
+
+_powers = _Powers()
+
+
 def _prefix_sums(b: np.ndarray) -> np.ndarray:
     up, _ = _powers.upto(len(b) + 1)
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
@@ -63,16 +87,14 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored_runs(b: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(first start, strings, anchor's distance from the first start, anchor's hash, hash of all bytes) of each run."""
+    """(first start, strings, anchor's hash) of each run."""
     sums = _prefix_sums(b)
     at = np.arange(len(b) - gram + 1)
     grams = _hashes(sums, at, at + gram)
     anchor = (_least((grams & ~_LOW) | at.astype(np.uint64), length - gram + 1) & _LOW).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     size = np.diff(np.append(first, len(anchor)))
-    p = anchor[first]
-    content = _hashes(sums, first, first + size - 1 + length)
-    return first, size, p - first, grams[p], content ^ mix((p - first).astype(np.uint64) + np.uint64(1))
+    return first, size, grams[anchor[first]]
 
 
 #: Kinds of rows that are dealt: a run, one run for several equal ones of its slice, and a span that the others cover.
@@ -80,35 +102,38 @@ ALONE, FIRST, SPAN = 0, 1, 2
 
 
 def runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(id, hash, fp, content, packed, kind) of every run of every document of ``id, hash, text``.
+    """(id, hash, fp, content, start, size, kind) of every run of every document of ``id, hash, text``.
 
     Equal runs of one slice of documents repeat whatever other slices hold: only
     the first, by id, hash and start, is dealt by its anchor. The others are
-    spans already, joined where they touch and dealt by place, so that a string
-    of very many documents is a row for each slice, not for each document.
-    ``packed`` has start, strings and the anchor's distance; a span's ``content``
-    is its end.
+    spans already, joined where they touch, so that a string of very many
+    documents is a row for each slice, not for each document. ``content`` is the
+    MD5 digest of a run's bytes; a span has neither anchor nor content, and
+    ``size`` is its length.
     """
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            row, parts = [], []
+            row, parts, digests = [], [], []
             for i, text in enumerate(strings(batch.column("text"))):
-                b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                data = text.encode("utf-8", "surrogatepass")
+                b = np.frombuffer(data, np.uint8)
                 for top in range(0, max(0, len(b) - length + 1), BLOCK):
-                    first, *rest = anchored_runs(b[top : top + BLOCK + length - 1], length, gram)
-                    parts.append((first + top, *rest))
+                    first, size, fp = anchored_runs(b[top : top + BLOCK + length - 1], length, gram)
+                    parts.append((first + top, size, fp))
                     row.append(np.full(len(first), i))
+                    digests += [hashlib.md5(data[x:y]).digest() for x, y in zip((first + top).tolist(), (first + top + size - 1 + length).tolist(), strict=True)]
             if not parts:
                 continue
-            first, size, off, fp, content = (np.concatenate(x) for x in zip(*parts, strict=True))
+            first, size, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+            content = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
             row = np.concatenate(row)
             place = np.empty(batch.num_rows, np.int64)
             keys = pa.table([batch.column("id"), batch.column("hash")], ["id", "hash"])
             place[pc.sort_indices(keys, [("id", "ascending"), ("hash", "ascending")], null_placement="at_start").to_numpy()] = np.arange(batch.num_rows)
-            order = np.lexsort((first, place[row], content, fp))
-            again = np.concatenate([[False], (fp[order][1:] == fp[order][:-1]) & (content[order][1:] == content[order][:-1])])
+            order = np.lexsort((first, place[row], content[:, 1], content[:, 0]))
+            again = np.concatenate([[False], (content[order][1:] == content[order][:-1]).all(1)])
             what = np.full(len(first), ALONE, np.int8)
             what[order[:-1][again[1:]]] = FIRST
             what[order[again]] = SPAN
@@ -119,32 +144,82 @@ def runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
             start_at = np.flatnonzero(opens)
             end = end[np.append(start_at[1:], len(gone)) - 1] if len(gone) else end
             spans = gone[start_at]
-            salt = mix(batch.column("hash").to_numpy().astype(np.int64).view(np.uint64)[row[spans]] ^ mix(first[spans].astype(np.uint64)))
-            numbers = [
-                np.concatenate([fp[kept], salt]).view(np.int64),
-                np.concatenate([content[kept].view(np.int64), end]),
-                np.concatenate([first[kept] << np.int64(24) | size[kept] << np.int64(12) | off[kept], first[spans] << np.int64(24)]),
-                np.concatenate([what[kept], what[spans]]),
-            ]
             at = pa.array(np.concatenate([row[kept], row[spans]]))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("hash").take(at), *map(pa.array, numbers)], ["id", "hash", "fp", "content", "packed", "kind"])
-
-    return docs.mapInArrow(run, f"id {kind}, hash bigint, fp bigint, content bigint, packed bigint, kind tinyint")
+            none = [None] * len(spans)
+            columns = [
+                pa.array(fp[kept].view(np.int64).tolist() + none, pa.int64()),
+                pa.array([digests[i] for i in kept.tolist()] + none, pa.binary()),
+                pa.array(np.concatenate([first[kept], first[spans]])),
+                pa.array(np.concatenate([size[kept], end - first[spans]])),
+                pa.array(np.concatenate([what[kept], what[spans]])),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("hash").take(at), *columns], ["id", "hash", "fp", "content", "start", "size", "kind"])
+
+    return docs.mapInArrow(run, f"id {kind}, hash bigint, fp bigint, content binary, start bigint, size bigint, kind tinyint")
+
+
+class SuffixOrder:
+    """Ranks of a text's suffixes cut to 8, 16, 32 ... and ``length`` bytes, by prefix doubling (those near the end are padded)."""
+
+    def __init__(self, text: np.ndarray, length: int) -> None:
+        self.length, n = length, len(text)
+        padded = np.concatenate([text, np.zeros(8, np.uint8)])
+        self.words = np.zeros(n, np.uint64)
+        have = min(8, length)
+        for k in range(have):
+            self.words |= padded[k : k + n].astype(np.uint64) << np.uint64(56 - 8 * k)
+        self.levels = [(have, np.unique(self.words, return_inverse=True)[1].astype(np.int32))]
+        while have < length:
+            step, rank = min(have, length - have), self.levels[-1][1].astype(np.int64)
+            ahead = np.concatenate([rank[step:], np.full(min(step, n), -1)])[:n]
+            values = rank * (n + 1) + ahead + 1
+            order = np.argsort(values)
+            ordered = values[order]
+            rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+            have += step
+            self.levels.append((have, rank.astype(np.int32)))
+
+    @property
+    def rank(self) -> np.ndarray:
+        return self.levels[-1][1]
+
+    def common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Bytes that the suffixes at ``p`` and ``q`` have in common, ``length`` at most."""
+        out, last = np.zeros(len(p), np.int64), len(self.words) - 1
+        same = self.rank[p] == self.rank[q]
+        for size, rank in reversed(self.levels[:-1]):
+            more = rank[np.minimum(p + out, last)] == rank[np.minimum(q + out, last)]
+            out += size * more
+        differ = self.words[np.minimum(p + out, last)] ^ self.words[np.minimum(q + out, last)]
+        for k in range(1, 8):
+            out += differ >> np.uint64(64 - 8 * k) == 0
+        return np.where(same, self.length, np.minimum(out, self.length - 1))
+
+
+def longest_previous_factors(order: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(factor, source) of each suffix, as they are sorted in ``order`` (their positions).
+
+    ``common[i]`` are the bytes that suffixes ``i - 1`` and ``i`` share. The nearest
+    suffix before and the nearest after with a smaller position share most with a
+    suffix, of all that start before it; ``source`` is the position of the better
+    one, -1 without any. Both are found by jumps over suffixes that are jumped
+    over themselves, with the least common prefix of each jump.
+    """
 
+    def nearest_smaller(at: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        to, least = np.arange(-1, len(at) - 1), shared.copy()
+        open_ = np.flatnonzero((to >= 0) & (at[to] > at))
+        while len(open_):
+            over = to[open_]
+            least[open_], to[open_] = np.minimum(least[open_], least[over]), to[over]
+            open_ = open_[(to[open_] >= 0) & (at[to[open_]] > at[open_])]
+        return np.where(to >= 0, at[to], -1), np.where(to >= 0, least, 0)
 
-def rank_suffixes(text: np.ndarray, length: int) -> np.ndarray:
-    """For each position, the rank of its suffix cut to ``length`` bytes (those near the end are padded)."""
-    rank, have = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
-    while have < length:
-        step = min(have, length - have)
-        ahead = np.concatenate([rank[step:], np.full(min(step, len(rank)), -1)])[: len(rank)]
-        values = rank * (len(rank) + 258) + ahead + 1
-        order = np.argsort(values)
-        ordered = values[order]
-        rank = np.empty(len(values), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        have += step
-    return rank
+    before, shares = nearest_smaller(order, common)
+    after, shares_after = nearest_smaller(order[::-1], np.concatenate([[0], common[:0:-1]]))
+    after, shares_after = after[::-1], shares_after[::-1]
+    better = shares_after > shares
+    return np.where(better, shares_after, shares), np.where(better, after, before)
 
 
 def repeated(contents: list[bytes], length: int, keep_first: bool) -> list[np.ndarray]:
@@ -154,14 +229,16 @@ def repeated(contents: list[bytes], length: int, keep_first: bool) -> list[np.nd
     begin = np.cumsum(sizes) - sizes
     strings_of = np.maximum(0, sizes - length + 1)
     at = np.repeat(begin - (np.cumsum(strings_of) - strings_of), strings_of) + np.arange(strings_of.sum())
-    rank = rank_suffixes(text, length)[at]
-    order = np.argsort(rank, kind="stable")  # by (rank, position)
-    same = rank[order][1:] == rank[order][:-1]
-    earlier = np.zeros(len(at), bool)
-    earlier[order[1:]] = same
+    suffixes = SuffixOrder(text, length)
+    order = at[np.argsort(suffixes.rank[at], kind="stable")]
+    common = np.concatenate([[0], suffixes.common(order[:-1], order[1:])])
+    factor, source = longest_previous_factors(order, common)
+    later = factor >= length
+    flags = np.zeros(len(text), bool)
+    flags[order[later]] = True
     if not keep_first:
-        earlier[order[:-1]] |= same
-    return np.split(earlier, np.cumsum(strings_of)[:-1])
+        flags[source[later]] = True
+    return np.split(flags[at], np.cumsum(strings_of)[:-1])
 
 
 def _spans(id_, hash_, start: int, flags: np.ndarray, length: int) -> list[tuple]:
@@ -271,24 +348,32 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
 
 
 def _found(source: DataFrame, packed_docs: DataFrame, length: int, gram: int, keep_first: bool, hot: int) -> DataFrame:
-    span = F.col("kind") == SPAN
-    of_anchor, of_content = Window.partitionBy("fp", "span"), Window.partitionBy("fp", "span", "content")
-    # hashes and numbers are what is shuffled
-    dealt = runs(source, length, gram).repartition("fp").withColumn("span", span).sortWithinPartitions("fp", "span", "content", "id", "hash", "packed")
-    rows = dealt.withColumn("n", F.count("*").over(of_anchor)).where((F.col("n") > 1) | (F.col("kind") != ALONE))
-    again = (F.count("*").over(of_content) > 1) | (F.max("kind").over(of_content) == FIRST)
-    rows = rows.withColumn("again", again).withColumn("nth", F.row_number().over(of_content.orderBy("id", "hash", "packed")))
-    rows = rows.withColumn("contents", F.sum((F.col("nth") == 1).cast("long")).over(of_anchor)).where(span | F.col("again") | (F.col("contents") > 1))
-    start, size = F.shiftright("packed", 24), F.shiftright("packed", 12).bitwiseAND(F.lit(4095)).cast("int")
-    rows = checkpointed(rows.select("id", "hash", "fp", start.alias("start"), size.alias("size"), F.when(span, F.col("content")).otherwise(start + size - 1 + length).alias("end"), "span", "again", "nth", "contents"))
-    whole = rows.where("span or nth > 1" if keep_first else "span or again").select("id", "hash", "start", "end")
-    cands = rows.where("not span and contents > 1 and nth = 1").withColumn("hot", F.col("contents") > hot)
-    contents = _contents(cands, packed_docs, length)
-    some_hot = not cands.where("hot").isEmpty()
-    if not some_hot:
-        return whole.unionByName(_partial_spans(contents, length, keep_first))
+    spark = source.sparkSession
+    path = shared_path(spark, "runs")
+    runs(source, length, gram).write.parquet(path)
+    every = spark.read.parquet(path)
+    spans = every.where(F.col("kind") == SPAN).select("id", "hash", "start", (F.col("start") + F.col("size")).alias("end"))
+    single = every.where(F.col("kind") != SPAN)
+    # most anchors occur once and go no further
+    anchors = single.groupBy("fp").agg(F.count("*").alias("copies"), F.max("kind").alias("most")).where((F.col("copies") > 1) | (F.col("most") == FIRST))
+    rows = checkpointed(join_by_class(single, anchors.drop("most"), "fp").where("copies is not null").drop("copies"))
+    contents = rows.groupBy("fp", "content").agg(F.count("*").alias("n"), F.max("kind").alias("most"), F.min(F.struct("id", "hash", "start", "size")).alias("first"))
     contents = checkpointed(contents)
-    return whole.unionByName(_partial_spans(contents.where("not hot"), length, keep_first)).unionByName(_hot_spans(contents.where("hot"), length, keep_first))
+    again = contents.where((F.col("n") > 1) | (F.col("most") == FIRST)).groupBy("content").agg(F.sum("n").alias("copies"), F.min("first").alias("first"))
+    whole = join_by_class(rows, again, "content").where("copies is not null")
+    if keep_first:  # rows that repeat the first one's key and text repeat it
+        same = rows.groupBy("content", "id", "hash", "start", "size").count().where("count > 1").select("content", F.struct("id", "hash", "start", "size").alias("first"))
+        whole = whole.where(F.struct("id", "hash", "start", "size") != F.col("first")).drop("first")
+        whole = whole.unionByName(again.join(same, ["content", "first"]).select("first.*").select(*(c if c in ("id", "hash", "start", "size") else F.lit(None).cast(whole.schema[c].dataType).alias(c) for c in whole.columns)))
+    whole = whole.select("id", "hash", "start", (F.col("start") + F.col("size") - 1 + length).alias("end")).unionByName(spans)
+    several = contents.groupBy("fp").agg(F.count("*").alias("contents"), F.count("*").alias("copies")).where("contents > 1")
+    cands = join_by_class(contents.select("fp", "first.*"), several, "fp").where("contents is not null").withColumn("hot", F.col("contents") > hot)
+    cands = checkpointed(cands.select("id", "hash", "fp", "start", "size", "hot"))
+    bytes_of = _contents(cands, packed_docs, length)
+    if cands.where("hot").isEmpty():
+        return whole.unionByName(_partial_spans(bytes_of, length, keep_first))
+    bytes_of = checkpointed(bytes_of)
+    return whole.unionByName(_partial_spans(bytes_of.where("not hot"), length, keep_first)).unionByName(_hot_spans(bytes_of.where("hot"), length, keep_first))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

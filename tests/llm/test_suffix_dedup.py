@@ -70,7 +70,25 @@ def test_ranks_are_suffix_order():
     r = np.random.default_rng(2)
     text = r.integers(97, 99, 300).astype(np.uint8)
     for length in (1, 2, 7, 40):
-        rank = suffix_dedup.rank_suffixes(text, length)
+        rank = suffix_dedup.SuffixOrder(text, length).rank
         cut = [bytes(text[i : i + length]) for i in range(len(text))]
         order = sorted(set(cut))
         assert [order.index(c) for c in cut] == rank.tolist()
+
+
+@pytest.mark.parametrize(("letters", "length"), [(2, 40), (1, 9), (2, 7), (4, 200), (3, 33)])
+def test_longest_previous_factors_equal_brute_force(letters, length):
+    r = np.random.default_rng(letters * length)
+    text = r.integers(97, 97 + letters, 260).astype(np.uint8)
+    text[130:200] = text[20:90]
+    data, n = bytes(text), len(text)
+    suffixes = suffix_dedup.SuffixOrder(text, length)
+    order = np.argsort(suffixes.rank, kind="stable")[: n]
+    order = order[order <= n - length] if n >= length else order[:0]
+    share = lambda p, q: next((k for k in range(length) if data[p + k] != data[q + k]), length)
+    common = np.concatenate([[0], suffixes.common(order[:-1], order[1:])])
+    assert common[1:].tolist() == [share(p, q) for p, q in zip(order[:-1].tolist(), order[1:].tolist(), strict=True)]
+    factor, source = suffix_dedup.longest_previous_factors(order, common)
+    for p, f, s in zip(order.tolist(), factor.tolist(), source.tolist(), strict=True):
+        assert f == max([share(p, q) for q in range(p)], default=0)
+        assert f == 0 if s == -1 else s < p and share(p, s) == f
