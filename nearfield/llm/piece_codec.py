@@ -60,17 +60,17 @@ class ChunkTable:
         return [x or self.mark_ids for x in out]
 
     def entries(self, chunks: list[str]) -> list:
-        """What ``made`` makes of each chunk's ids, in the order of ``chunks``."""
+        """What ``segmented`` makes of each chunk, in the order of ``chunks``."""
         if len(self.table) > self.size:
             self.table.clear()
         known, large = self.table, {}
         missing = list({c for c in chunks if c not in known})
-        for c, entry in zip(missing, self.made(self.ids(missing)), strict=True):
+        for c, entry in zip(missing, self.segmented(missing), strict=True):
             (known if len(c) <= TABLE_CHARS else large)[c] = entry
         return list(map((known | large if large else known).__getitem__, chunks))
 
-    def made(self, ids: list[list[int]]) -> list:
-        return ids
+    def segmented(self, chunks: list[str]) -> list:
+        return self.ids(chunks)
 
 
 class CodecTable(ChunkTable):
@@ -82,9 +82,9 @@ class CodecTable(ChunkTable):
         #: What an ordinary piece decodes to; the library decodes chunks with any other piece.
         self.plain = {i: sp.id_to_piece(i).replace(MARK, " ") for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
 
-    def made(self, ids: list[list[int]]) -> list[tuple[bytes, str]]:
+    def segmented(self, chunks: list[str]) -> list[tuple[bytes, str]]:
         plain, out = self.plain, []
-        for x in ids:
+        for x in self.ids(chunks):
             try:
                 out.append((array("I", x).tobytes(), "".join([plain[i] for i in x])))
             except KeyError:

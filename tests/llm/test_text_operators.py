@@ -49,18 +49,32 @@ def test_prefix_counts_equal_library(sp):
             assert p.fit(budget) == max(i for i, n in enumerate(want) if n <= budget)
 
 
-def test_prefix_counts_of_a_long_chunk_encode_it_once(sp, monkeypatch):
+def test_prefix_counts_of_long_chunks_are_linear(sp, monkeypatch):
+    import time
+
     r = random.Random(2)
-    t = "".join(r.choice("abcdeinorst") for _ in range(9000))
-    counter, encoded = token_counts.CountTable(piece_codec.model_path()), []
+    counter, took, encoded = token_counts.CountTable(piece_codec.model_path()), [], []
     ids = counter.ids
     monkeypatch.setattr(counter, "ids", lambda chunks: encoded.extend(map(len, chunks)) or ids(chunks))
-    p = counter.prefixes(t)
-    places = [1, 2, 700, 4095, 4097, 8999, 9000]
-    assert [p.at(i) for i in places] == [len(sp.encode(t[:i])) for i in places]
-    fit = p.fit(2000)
-    assert len(sp.encode(t[:fit])) <= 2000 < len(sp.encode(t[: fit + 1]))
-    assert sum(encoded) <= 2 * 9001
+    for n in (250_000, 1_000_000):
+        t = "".join(r.choice("abcdeinorst") for _ in range(n))
+        begun = time.perf_counter()
+        p = counter.prefixes(t)
+        took.append(time.perf_counter() - begun)
+        for i in (1, 2, 700, 4097, 8999, n // 3, n):
+            assert p.at(i) == len(sp.encode(t[:i]))
+        fit = p.fit(2000)
+        assert p.at(fit) <= 2000 and (p.counts[fit + 1 :] > 2000).all()
+    assert encoded == [250_001, 1_000_001]  # each chunk once, and no part of it
+    assert took[1] < 10 * took[0]
+
+
+def test_prefixes_of_words_that_merge_in_turns(sp):
+    counter, r = token_counts.CountTable(piece_codec.model_path()), random.Random(3)
+    pieces = [sp.id_to_piece(i).replace(piece_codec.MARK, "") for i in range(300, sp.get_piece_size())]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(1, 7))) for _ in range(400)]
+    for t in [*texts, "aaaaaaaaaaaaaaaaaaaaaaa", "ababababababab", "//////////////////", "=" * 70, "0000000000001"]:
+        assert counter.prefixes(t).every() == [len(sp.encode(t[:i])) for i in range(len(t) + 1)]
 
 
 def test_registered_text_queries(spark, sf, sp):
@@ -71,6 +85,7 @@ def test_registered_text_queries(spark, sf, sp):
     for d, t in zip(docs.doc_id, docs.text, strict=True):
         ids = sp.encode(t or "", add_bos=True, add_eos=True)
         assert (got[d].n_tokens, got[d].ids_sha256, got[d].decoded_sha256) == (len(ids), sha(b"".join(i.to_bytes(4, "little") for i in ids)), sha(sp.decode(ids)))
+        assert len(sp.encode((t or "")[: counts[d].fit_chars])) <= 4096 and (counts[d].over_limit or counts[d].fit_chars == len(t or ""))
         assert (counts[d].n_bytes, counts[d].n_tokens, counts[d].over_limit) == (len((t or "").encode()), len(ids) - 2, len(ids) - 2 > 4096)
 
 
