@@ -268,6 +268,115 @@ def test_html_fields_drawings_and_spans(source, text):
     assert html_text.extract(source) == text
 
 
+RULES = [
+    ("<style>.x, #y{display:none} p.z{visibility:hidden}/* .w{display:none} */@media print{.w{display:none}}</style><p class='a x'>1<p id=y>2<p class=z>3<div class=z>4<div class=w>5", "4\n5"),
+    ("<style>b{display:none}</style>a<b>no</b><b style='display:inline'>yes</b>", "ayes"),
+    ("<p style='--display:none'>shown<p style='color:red;display:none'>no<p hidden style='display:block'>also", "shown\n\nalso"),
+    ("<div style='visibility:hidden'>no <span style='visibility:visible'>yes</span> no</div>", "yes"),
+    ("<p>He said <q>go <b>on</b></q>.", "He said \u201cgo on\u201d."),
+    ("<div style='white-space:pre'>a   b\n  c</div><pre style='white-space:normal'>d   e</pre>", "a   b\n  c\n\nd e"),
+    ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"),
+    ("<table>loose<tr><td>a</table>then", "loose\na\n\nthen"),
+    ("<input value=typed> <input type=submit> <input type=reset value=Clear> <input type=hidden value=no><input placeholder=hint>", "typed Submit Clear hint"),
+    ("<table><tr><td>a<td colspan=2>wide<td>b<tr><td>cc<td>d<td>e<td>f</table>", "a  | wide  | b\ncc | d | e | f"),
+]
+
+
+@pytest.mark.parametrize(("source", "text"), RULES)
+def test_html_visibility_and_layout_rules(source, text):
+    assert html_text.extract(source) == text
+
+
+def test_html_padding_is_bounded_and_loses_nothing():
+    wide = "w" * 3000
+    got = html_text.extract("<table><tr><td>" + wide + "<td>x" + "<tr><td>a<td>b" * 50 + "</table>")
+    assert got.split("\n")[0] == wide + " | x" and {len(x) for x in got.split("\n")[1:]} == {2 * 3050 // 51 + 4}
+    rows = html_text.extract("<table><tr>" + "".join(f"<td>{'y<br>' * 60}c{i}" for i in range(30)) + "</table>")
+    assert sorted(rows.split()) == sorted([x for i in range(30) for x in ["y"] * 60 + [f"c{i}"]] + ["|"] * rows.count("|"))
+    deep = html_text.extract("<table><tr><td>a<td>" * 30 + "inmost")
+    assert deep.count("a") == 30 and deep.endswith("inmost") and len(deep) < 3000
+    assert len(html_text.extract("<blockquote>x" * 500).split("\n")[-1]) == html_text.INDENT + 1
+
+
+#: Markup that makes a careless parser or renderer quadratic.
+STRAINS = {
+    "open tags": lambda n: "<a " * (n // 3),
+    "quoted": lambda n: '<a b=">" ' * (n // 9) + "c='>x",
+    "divs": lambda n: "<div>" * (n // 5),
+    "lists": lambda n: "<ul><li>" * (n // 8),
+    "wide cell": lambda n: "<table><tr><td>" + "w" * (n // 4) + "<td>x" + "<tr><td>a<td>b" * (n * 3 // 56),
+    "quotes": lambda n: "<blockquote>x" * (n // 13),
+    "nested tables": lambda n: "<table><tr><td>a<td>b<br>c" * (n // 25),
+    "spans": lambda n: "<table>" + "<tr><td colspan=1000>a<td>b" * (n // 27),
+    "one row": lambda n: "<table><tr>" + "<td colspan=1000>a" * (n // 18),
+    "lines": lambda n: "<table><tr><td>" + "a<br>" * (n // 10) + "<td>b" * (n // 10),
+    "ends": lambda n: "<div>" * (n // 10) + "</p>" * (n // 8),
+    "styles": lambda n: "<style>" + "/*" * (n // 4) + "</style><style>" + "a{" * (n // 4) + "</style>x",
+}
+
+
+@pytest.mark.parametrize("strain", STRAINS)
+def test_html_takes_linear_time_and_space(strain):
+    import time
+
+    took, size = [], []
+    for n in (20_000, 160_000):
+        source = STRAINS[strain](n)
+        best = []
+        for _ in range(2):
+            begun = time.perf_counter()
+            size.append(len(html_text.extract(source)))
+            best.append(time.perf_counter() - begun)
+        took.append(min(best))
+    assert took[1] < 24 * took[0] + 0.2 and size[-1] <= 9 * size[0] + 500 and size[-1] < 40 * 160_000
+
+
+class PlainRenderer:
+    """Blocks, lists and aligned tables of well-formed markup, by plain recursion over nested lists."""
+
+    def block(self, node):
+        """Lines of a node: (tag, children)."""
+        tag, children = node
+        if tag == "p":
+            return [" ".join("".join(children).split())]
+        if tag in ("ul", "ol"):
+            out = []
+            for k, (_, inner) in enumerate(children, 1):
+                mark = f"{k}. " if tag == "ol" else "- "
+                lines = [x for c in inner for x in ([" ".join(c.split())] if isinstance(c, str) else self.block(c))]
+                out += [mark + lines[0], *(" " * len(mark) + x for x in lines[1:])]
+            return out
+        rows = [[" ".join("".join(cell).split()) for cell in row] for row in children]
+        wide = [max(len(r[k]) for r in rows if k < len(r)) for k in range(max(map(len, rows)))]
+        return [" | ".join(c.ljust(wide[k]) for k, c in enumerate(r)).rstrip() for r in rows]
+
+    def source(self, node):
+        tag, children = node
+        if tag == "p":
+            return "<p>" + "".join(children)
+        if tag in ("ul", "ol"):
+            return f"<{tag}>" + "".join("<li>" + "".join(c if isinstance(c, str) else self.source(c) for c in inner) for _, inner in children) + f"</{tag}>"
+        return "<table>" + "".join("<tr>" + "".join("<td>" + "".join(c) for c in row) for row in children) + "</table>"
+
+
+def test_html_layout_equals_plain_renderer():
+    r, plain = random.Random(9), PlainRenderer()
+    words = lambda: [r.choice(["ab", "c ", " d", "efg\n", "h"]) + "x" for _ in range(r.randrange(1, 5))]
+
+    def made(depth):
+        kind = r.choice(["p", "ul", "ol", "table"]) if depth else r.choice(["ul", "ol"])
+        if kind == "p":
+            return kind, words()
+        if kind == "table":
+            return kind, [[words() for _ in range(r.randrange(1, 4))] for _ in range(r.randrange(1, 5))]
+        inner = lambda: ["".join(words()), *([made(0)] if depth and r.random() < 0.4 else [])]
+        return kind, [("li", inner()) for _ in range(r.randrange(1, 5))]
+
+    for _ in range(300):
+        nodes = [made(1) for _ in range(r.randrange(1, 5))]
+        assert html_text.extract("".join(map(plain.source, nodes))) == "\n\n".join("\n".join(plain.block(x)) for x in nodes)
+
+
 def test_html_survives_deep_and_random_markup():
     assert html_text.extract("<div><b><ul><li>" * 3000 + "x").endswith("x")
     r = random.Random(3)
