@@ -28,6 +28,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, its lineage cut; later reads take only the columns they need."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path for a table that a job writes and reads again, in the folder that ``spark.checkpoint.dir`` names."""
     return f"{_shared_folder(spark)}/{name}-{uuid.uuid4()}"
@@ -64,6 +71,10 @@ def slices(batches: Iterator[pa.RecordBatch], sized_by: str) -> Iterator[pa.Reco
             yield batch.slice(start)
 
 
+#: Tasks of a round of components at least, and edges for each one more.
+LEAST_PARTS, PART_EDGES = 8, 100_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: ``(id, component_id)`` for each id in ``edges(a, b)``.
 
@@ -77,8 +88,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = checkpointed(e)
     before = _signature(e)
+    e = e.coalesce(max(LEAST_PARTS, before[0] // PART_EDGES))
     if not before[0]:
         return e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+    parts = max(LEAST_PARTS, before[0] // PART_EDGES)
     for _ in range(rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree"))
@@ -87,7 +100,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: u and its neighbours below point to the smallest of them
         low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
         e = _join_hubs(e, low, before[0]).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = checkpointed(e)
+        # rounds over few edges take few tasks, whatever the session deals shuffles to
+        e = checkpointed(e.coalesce(parts))
         after = _signature(e)
         if after == before:
             break

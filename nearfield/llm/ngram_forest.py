@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import checkpointed, components, join_by_class, slices, strings
+from nearfield.llm.common import checkpointed, components, join_by_class, slices, strings, written
 from nearfield.llm.embedding_dedup import Forest
 from nearfield.llm.shingles import WORDS, WordTable, exact_sets, hashed_sets, mix, split_words
 
@@ -113,7 +113,7 @@ def _hash(text: str) -> Column:
 
 
 def digests(docs: DataFrame, text: str, key: str, floor: int, tries: int, words: int) -> DataFrame:
-    """(id, hash, node, size, keys, tails, sketch): ``node`` is the digest of the shingle set, null without shingles; ``hash`` that of the text.
+    """(id, hash, node, size, keys, tails, sketch, data): ``node`` is the digest of the shingle set, null without shingles; ``hash`` that of the text, ``data`` its words, compressed.
 
     ``keys`` name each trie's shortest prefix, ``tails`` hold 16 bits of each minhash below it, the next one uppermost.
     """
@@ -122,14 +122,15 @@ def digests(docs: DataFrame, text: str, key: str, floor: int, tries: int, words:
     deep = floor + LEVELS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        multipliers, table = _multipliers(max(tries * deep, SKETCH)), WordTable()
+        multipliers, table, closed = _multipliers(max(tries * deep, SKETCH)), WordTable(), zstandard.ZstdCompressor(level=1)
         with np.errstate(over="ignore"):
             weights = mix(np.arange(1, floor + 1, dtype=np.uint64)) | np.uint64(1)
             names = mix(np.arange(1, tries + 1, dtype=np.uint64) * np.uint64(977))
             for batch in slices(batches, "text"):
-                found, cut = hashed_sets(strings(batch.column("text")), words, table)
+                split = [split_words(t) for t in strings(batch.column("text"))]
+                found, cut = hashed_sets(split, words, table)
                 size = np.diff(cut)
-                node, keys, tails, sketch = ([None] * batch.num_rows for _ in range(4))
+                node, keys, tails, sketch, data = ([None] * batch.num_rows for _ in range(5))
                 some = np.flatnonzero(size)
                 if len(some):
                     m = signatures(np.ascontiguousarray(found[:, 0]), np.append(cut[some], len(found)), multipliers)
@@ -141,13 +142,13 @@ def digests(docs: DataFrame, text: str, key: str, floor: int, tries: int, words:
                     nibbles = (mix(m[:, :SKETCH].astype(np.uint64)) & np.uint64(15)).astype(np.uint8)
                     nibbles = nibbles[:, ::2] | nibbles[:, 1::2] << 4
                     for r, i in enumerate(some.tolist()):
-                        node[i] = hashlib.md5(found[cut[i] : cut[i + 1]].tobytes()).digest()
+                        node[i], data[i] = hashlib.md5(found[cut[i] : cut[i + 1]].tobytes()).digest(), closed.compress(b" ".join(split[i]))
                         keys[i], tails[i], sketch[i] = prefix[r], tail[r].view(np.int64), nibbles[r].tobytes()
                 longs = pa.list_(pa.int64())
-                columns = [pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(keys, longs), pa.array(tails, longs), pa.array(sketch, pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), *columns], ["id", "hash", "node", "size", "keys", "tails", "sketch"])
+                columns = [pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(keys, longs), pa.array(tails, longs), pa.array(sketch, pa.binary()), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), *columns], ["id", "hash", "node", "size", "keys", "tails", "sketch", "data"])
 
-    return source.mapInArrow(run, f"id {kind}, hash bigint, node binary, size bigint, keys array<bigint>, tails array<bigint>, sketch binary")
+    return source.mapInArrow(run, f"id {kind}, hash bigint, node binary, size bigint, keys array<bigint>, tails array<bigint>, sketch binary, data binary")
 
 
 def _near(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
@@ -351,11 +352,11 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", thres
 def _decided(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, words: int = WORDS, tries: int = TRIES, target: float = TARGET, tile: int = TILE) -> DataFrame:
     """``jaccard_join`` with the hash of each row's text."""
     floor = depth_for(threshold, tries, target=target)
-    every = checkpointed(digests(docs, text, key, floor, tries, words))
+    every = written(digests(docs, text, key, floor, tries, words), "digests")
     usable = every.where("node is not null and id is not null")
     classes = usable.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("tails").alias("tails"), F.first("sketch").alias("sketch"))
-    classes = checkpointed(classes.select("node", "rep.*", "copies", "size", "keys", "tails", "sketch").withColumnRenamed("id", "rep"))
-    verified = linked_classes(docs, classes, text, key, threshold, words, tries, target, tile, floor)
+    classes = written(classes.select("node", "rep.*", "copies", "size", "keys", "tails", "sketch").withColumnRenamed("id", "rep"), "classes")
+    verified = linked_classes(every, classes, threshold, words, tries, target, tile, floor)
     links = verified.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     # a group in one tile is settled by its task; others' parts are joined
     joined = verified.where("tiles = 1").select(F.col("a").alias("node"), F.col("b").alias("component_id"))
@@ -372,49 +373,43 @@ def _decided(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold
     return out.select(F.col("id").alias(key), F.coalesce("rep", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "hash")
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame, text: str, key: str, threshold: float, words: int, tries: int, target: float, tile: int, floor: int) -> DataFrame:
+def linked_classes(every: DataFrame, classes: DataFrame, threshold: float, words: int, tries: int, target: float, tile: int, floor: int) -> DataFrame:
     """(tiles, a, b, n) of ``verify`` over the groups of the longest prefixes that meet the target.
 
     A depth's histogram of links comes to the driver: ``BINS`` numbers.
     """
     edges = checkpointed(candidate_edges(classes, threshold, floor))
+    held = written(_with_words(every, classes, edges), "candidates")
     depth, before, verified = first_depth(threshold, floor, tries), None, None
     while True:
         grouped = components(edges.where(F.col("depth") >= depth).select("a", "b")).withColumnRenamed("id", "node").withColumnRenamed("component_id", "group")
-        members = checkpointed(grouped.join(classes.select("node", "rep", "hash", "copies", "size"), "node"))
-        fresh = members
-        if before is not None:  # groups whose members are those of one group before are decided
-            old = members.join(before.select("node", F.col("group").alias("old")), "node", "left")
-            settled = old.groupBy("group").agg(F.count("*").alias("now"), F.count("old").alias("then"), F.min("old").alias("one"), F.max("old").alias("other")).where("now = then and one = other").select("group")
-            settled = checkpointed(settled)
-            fresh = members.join(settled, "group", "left_anti")
-        weight = fresh.groupBy("group").agg(F.greatest(F.sum("size") / tile, F.count("*") / TILE_CLASSES, F.least(F.lit(SPLITS), F.floor(F.count("*") / SPLIT))).alias("weight"))
-        tiled = fresh.join(weight, "group").withColumn("tiles", F.ceil("weight").cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        found = verify(_with_words(docs, tiled, text, key), threshold, words)
-        if before is not None:
-            found = found.unionByName(verified.join(settled, "group", "left_semi"))
+        members = grouped.join(held.select("node", "size"), "node")
+        # groups whose members are those of one group before are decided
+        members = members.withColumn("old", F.lit(None).cast("binary")) if before is None else members.join(before, "node", "left")
+        members = checkpointed(members)
+        groups = members.groupBy("group").agg(F.count("*").alias("copies"), F.sum("size").alias("size"), F.count("old").alias("then"), F.min("old").alias("one"), F.max("old").alias("other"))
+        weight = F.greatest(F.col("size") / tile, F.col("copies") / TILE_CLASSES, F.least(F.lit(SPLITS), F.floor(F.col("copies") / SPLIT)))
+        settled = F.coalesce((F.col("copies") == F.col("then")) & (F.col("one") == F.col("other")), F.lit(False))
+        groups = checkpointed(groups.select("group", "copies", F.ceil(weight).cast("int").alias("tiles"), settled.alias("settled")))
+        fresh = join_by_class(members.select("node", "group"), groups, "group").where("not settled")
+        tiled = fresh.select("node", "group", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
+        found = verify(held.select("node", "copies", "data").join(tiled, "node"), threshold, words)
+        if verified is not None:
+            found = found.unionByName(join_by_class(verified, groups.select("group", "copies", "settled"), "group").where("settled").select(found.columns))
         verified = checkpointed(found)
         bins = {r["bin"]: r["n"] for r in verified.where("bin is not null").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
         need = needed_depth([bins.get(i, 0) for i in range(BINS)], depth, floor, threshold, tries, target)
         if need == depth:
             return verified.where("bin is null").select("tiles", "a", "b", "n")
-        depth, before = need, members
+        depth, before = need, members.select("node", F.col("group").alias("old"))
 
 
-def _with_words(docs: DataFrame, tiled: DataFrame, text: str, key: str) -> DataFrame:
-    """``tiled`` with the words of each class, from the text of its first row, compressed."""
-    source = docs.select(F.col(key).alias("rep"), _hash(text).alias("hash"), F.col(text).alias("text"))
-    joined = source.join(tiled, ["rep", "hash"]).select("node", "group", "copies", "tile", "tiles", "text")
-    names = ["node", "group", "copies", "tile", "tiles"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        closed = zstandard.ZstdCompressor(level=1)
-        for batch in slices(batches, "text"):
-            data = [closed.compress(b" ".join(split_words(t))) for t in strings(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(data, pa.binary())], [*names, "data"])
-
-    out = joined.mapInArrow(run, "node binary, group binary, copies bigint, tile int, tiles int, data binary")
-    return out.dropDuplicates(["node"])  # repeated rows
+def _with_words(every: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, copies, size, data) of the classes that edges join, with the words of a class's first row."""
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    taken = nodes.join(classes.select("node", "rep", "hash", "copies", "size"), "node")
+    first = every.select(F.col("id").alias("rep"), "hash", "data").join(taken, ["rep", "hash"])
+    return first.select("node", "copies", "size", "data").dropDuplicates(["node"])  # repeated rows
 
 
 def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:

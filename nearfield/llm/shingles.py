@@ -78,12 +78,11 @@ def _chained(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def hashed_sets(texts: list[str], words: int = WORDS, table: WordTable | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of all texts, (shingles, 2) hashes sorted within each text, and where each text's begin and the last ones end."""
+def hashed_sets(texts: list[list[bytes]], words: int = WORDS, table: WordTable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of all texts, given as words: (shingles, 2) hashes sorted within each text, and where each text's begin and the last ones end."""
     table = table or WordTable()
-    split = [split_words(t) for t in texts]
-    sizes = np.array([len(w) for w in split], np.int64)
-    h = table.hashes([w for part in split for w in part])
+    sizes = np.array([len(w) for w in texts], np.int64)
+    h = table.hashes([w for part in texts for w in part])
     first = np.cumsum(sizes) - sizes
     whole = _chained(h, words)
     each = np.maximum(0, sizes - words + 1)
@@ -107,7 +106,7 @@ def hashed_sets(texts: list[str], words: int = WORDS, table: WordTable | None =
 
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """The first hashes of each text's shingles, sorted."""
-    found, cut = hashed_sets(texts, words)
+    found, cut = hashed_sets([split_words(t) for t in texts], words)
     return [found[a:b, 0] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
