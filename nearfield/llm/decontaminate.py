@@ -3,13 +3,17 @@
 An item's windows of ``WINDOW`` words must occur whole, so the prefix of a window
 that any match has to share is a single word; taken in the order of rarity over
 all documents, it is the window's rarest. Document words join windows by that
-word, the word's place in the window bounds where the window would start and
-end, and the words in between are compared.
+word and the one beside it, the word's place in the window bounds where the window
+would start and end, and the words in between are compared.
+
+Windows of up to ``BLOCK_BYTES`` are broadcast, and documents aren't shuffled.
+Beyond that, words are counted and joined by shuffles: a document's word then
+travels with the words around it that a window could hold. Either way there are
+two passes over the documents, whatever the number of windows.
 """
 
 from __future__ import annotations
 
-import math
 import string
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +23,7 @@ from nearfield.llm.common import checkpointed
 
 WINDOW = 10
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Bytes of windows that are broadcast at a time; more are joined in several blocks, each against all documents.
+#: Bytes of windows that are broadcast at most.
 BLOCK_BYTES = 8 << 20
 
 
@@ -38,42 +42,47 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return rows.select(F.col("item_id").cast("string").alias("item_id"), "win", F.md5(F.concat_ws(" ", "win")).alias("win_id")).distinct()
 
 
-def _blocks(df: DataFrame, key: str, blocks: int) -> list[DataFrame]:
-    return [F.broadcast(df.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) if blocks > 1 else df) for b in range(blocks)]
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def occurrences(docs: DataFrame, windows: DataFrame, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every place of a document where a window occurs: (_id, _hash, start, size, win_id), starts from 0.
 
-    ``windows`` are (win, win_id) rows. Their size is measured; they and their
-    words are broadcast in blocks of at most about ``block_bytes``, each joined
-    in a narrow pass over all documents. Documents are not shuffled.
+    ``windows`` are (win, win_id) rows, whose size is measured. Null texts have no
+    words; rows that repeat key and text have the same places, each once a row.
     """
     wins = windows.select("win", "win_id").distinct()
-    measured = wins.agg(F.sum(F.length(F.concat_ws(" ", "win")) + 120)).first()[0] or 0
-    blocks = max(1, math.ceil(measured / block_bytes))
+    size = F.size("win")
+    row = wins.agg(F.sum(F.octet_length(F.concat_ws(" ", "win")) + 120).alias("bytes"), F.max(size).alias("longest"), F.min(size).alias("shortest")).first()
+    small, longest = (row["bytes"] or 0) <= block_bytes, row["longest"] or 1
+    held = F.broadcast if small else (lambda df: df)
     exploded = docs.select(F.col(key).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"), words(F.col(text)).alias("w"))
 
     vocabulary = wins.select(F.explode("win").alias("v")).distinct()
     seen = exploded.select(F.explode_outer("w").alias("word"))  # outer: no filter that repeats the expression
-    counts = _union([seen.join(v, F.col("word") == F.col("v")).groupBy("v").agg(F.count("*").alias("n")) for v in _blocks(vocabulary, "v", blocks)])
+    if small:
+        counts = seen.join(F.broadcast(vocabulary), F.col("word") == F.col("v")).groupBy("v").agg(F.count("*").alias("n"))
+    else:  # counted in parts on each task first
+        counts = seen.groupBy("word").agg(F.count("*").alias("n")).join(vocabulary, F.col("word") == F.col("v")).select("v", "n")
 
     placed = wins.select("win_id", F.posexplode("win").alias("off", "v")).join(counts, "v", "left")
     rarest = placed.groupBy("win_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "v", "off")).alias("r"))
-    # a word that no document has can't lead to a match
-    keyed = checkpointed(wins.join(rarest.where("r.n > 0"), "win_id").select("win_id", "win", F.col("r.v").alias("rare"), F.col("r.off").alias("off")))
-
-    at = exploded.select("_id", "_hash", "w", F.posexplode_outer("w").alias("pos", "word"))
+    # a word that no document has can't lead to a match; the pair of words that is looked for begins at the rarest, or before it if it is the last
+    first = F.greatest(F.lit(0), F.least(F.col("r.off"), size - 2))
+    keyed = wins.join(rarest.where("r.n > 0"), "win_id").select("win_id", "win", first.alias("off"))
+    keyed = checkpointed(keyed.select("*", F.element_at("win", F.col("off") + 1).alias("rare"), F.get("win", F.col("off") + 1).alias("beside")))
+
+    around = 2 * longest - 1
+    at = exploded.select("_id", "_hash", F.size("w").alias("n"), "w", F.posexplode_outer("w").alias("pos", "word")).withColumn("next", F.get("w", F.col("pos") + 1))
+    if small:
+        at = at.withColumn("from", F.lit(0))
+    else:
+        rare = keyed.select(F.col("rare").alias("word")).distinct()
+        near = F.greatest(F.lit(0), F.col("pos") - (longest - 1))
+        at = at.select("_id", "_hash", "n", F.slice("w", near + 1, around).alias("w"), "pos", "word", "next", near.alias("from")).join(rare, "word", "left_semi")
     begin = F.col("pos") - F.col("off")
-    fits = (F.col("word") == F.col("rare")) & (begin >= 0) & (begin + F.size("win") <= F.size("w")) & (F.slice("w", begin + 1, F.size("win")) == F.col("win"))
-    found = _union([at.join(k, fits).select("_id", "_hash", begin.alias("start"), F.size("win").alias("size"), "win_id") for k in _blocks(keyed, "win_id", blocks)])
+    fits = (F.col("word") == F.col("rare")) & (begin >= 0) & (begin + size <= F.col("n")) & (F.slice("w", begin - F.col("from") + 1, size) == F.col("win"))
+    take = lambda df: df.select("_id", "_hash", begin.alias("start"), size.alias("size"), "win_id")
+    found = take(at.join(held(keyed.where(size > 1)), fits & (F.col("next") == F.col("beside"))))
+    if (row["shortest"] or 2) == 1:  # items of one word have none beside it
+        found = found.unionByName(take(at.join(held(keyed.where(size == 1)), fits)))
     return found
 
 
@@ -83,7 +92,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
     A word is hit if it lies in any occurrence of a window; overlapping
     occurrences count once, by a running maximum of their ends. Null texts and
     items have no words and no hits; repeated rows share their result, repeated
-    items are one. Tables without rows give no rows.
+    items are one. Windows of an item without ``item_id`` are hits as all others
+    are, but it can't be named: ``items`` leaves it out and may be empty. Tables
+    without rows give no rows.
     """
     items = checkpointed(item_windows(benchmark, size))
     found = occurrences(docs, items, text, key, block_bytes).distinct()
@@ -102,7 +113,12 @@ def _joined(docs: DataFrame, found: DataFrame, text: str, key: str, how: str) ->
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per row of ``docs``: words, hit words, items with occurring windows and their digest."""
+    """Per row of ``docs``: words, hit words, items with occurring windows and their digest.
+
+    Null texts have no words and are clean; repeated rows and rows without
+    ``doc_id`` are reported each; an empty benchmark leaves all clean, an empty
+    table gives no rows. Other columns are ignored.
+    """
     counted = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     found = contamination(docs, benchmark)
     rows = counted.join(found, counted["doc_id"].eqNullSafe(found["_id"]) & (counted["_h"] == found["_hash"]), "left")
@@ -112,5 +128,5 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` without any hit, with their columns."""
+    """The rows of ``docs`` without any hit, with their columns; repeated rows stay or go together, null texts stay."""
     return _joined(docs, contamination(docs, benchmark, text, key), text, key, "left_anti")
