@@ -7,14 +7,11 @@ Parquet in the shared checkpoint folder and reads it again for the next.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import decontaminate, language_id, ngram_forest, piece_codec, secret_scan
-from nearfield.llm.common import table
+from nearfield.llm.common import shared_path, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,12 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage makes of ``documents``."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:  # only without a configured folder, as in local tests
-        folder = tempfile.mkdtemp(prefix="nearfield-")
-        context.setCheckpointDir(folder)
-    path = f"{folder}/pipeline-{uuid.uuid4()}"
+    path = shared_path(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{path}/{k}")
