@@ -8,18 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that ``spark.checkpoint.dir`` names; below a local one only if none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def _folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. One of this machine stands in only where driver and executors are one process, as in tests; else ``RuntimeError``."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="nearfield-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder}/{name}-{uuid.uuid4()}"
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4()}"
 
 
 def materialized(df: DataFrame) -> DataFrame:
     """``df`` as rows in the shared checkpoint folder: its partitions and their order no longer change."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="nearfield-"))
+    _folder(df.sparkSession)
     return df.checkpoint()

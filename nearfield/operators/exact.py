@@ -28,7 +28,7 @@ from nearfield.functions.vectors import VectorError, dimension, matrix
 
 #: Bytes of queries that are broadcast; pairs up to which the expression path is taken.
 QUERY_BYTES, FEW_PAIRS = 32 << 20, 20_000
-#: Queries and rows that are multiplied at a time; rows of a tile.
+#: Queries and rows that are multiplied at a time; rows of a tile at least. A tile has ``QUERY_BYTES`` if that is more.
 Q_BLOCK, B_BLOCK, TILE = 512, 4096, 8192
 SHAPE = "query_id bigint, vec_id bigint, dist double"
 
@@ -148,9 +148,13 @@ def _blocked_knn(base: DataFrame, queries: DataFrame, k: int, s: Space, dim: int
     return base.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, SHAPE)
 
 
-def _tiled(base: DataFrame, queries: DataFrame, nq: int, nb: int) -> DataFrame:
-    """Both sides dealt to pairs of tiles: (t, u, side, id, v)."""
-    tq, tb = max(1, math.ceil(nq / TILE)), max(1, math.ceil(nb / TILE))
+def _tiled(base: DataFrame, queries: DataFrame, nq: int, nb: int, dim: int) -> DataFrame:
+    """Both sides dealt to pairs of tiles: (t, u, side, id, v).
+
+    Large tiles: a row is copied once for each tile of the other side.
+    """
+    rows = max(TILE, QUERY_BYTES // size_of(1, dim))
+    tq, tb = max(1, math.ceil(nq / rows)), max(1, math.ceil(nb / rows))
     number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(tq)).cast("int").alias("t"), number(tb).alias("u"), F.lit(0).alias("side"), F.col("query_id").alias("id"), F.col("qv").cast("array<double>").alias("v"))
     right = base.select(number(tq).alias("t"), F.pmod(F.xxhash64("vec_id"), F.lit(tb)).cast("int").alias("u"), F.lit(1).alias("side"), F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -165,7 +169,7 @@ def _tiles_knn(base: DataFrame, queries: DataFrame, k: int, s: Space, dim: int,
         i, found, dist = best.rows()
         return pa.Table.from_batches([_result(ids[side == 0][i], found, dist)])
 
-    return _tiled(base, queries, nq, base.count()).groupBy("t", "u").applyInArrow(run, SHAPE)
+    return _tiled(base, queries, nq, base.count(), dim).groupBy("t", "u").applyInArrow(run, SHAPE)
 
 
 def choose(pairs: int, query_bytes: int, method: str = "auto") -> str:
@@ -271,16 +275,22 @@ def _document_minima(base: DataFrame, queries: DataFrame, s: Space, dim: int, do
             names, code = coded.dictionary.to_pylist() + [None], np.where(pc.is_null(coded.indices).to_numpy(zero_copy_only=False), len(coded.dictionary), pc.fill_null(coded.indices, 0).to_numpy(zero_copy_only=False))
             b = s.prepare(matrix(batch.column("embedding"), dim))
             for lo in range(0, len(b), B_BLOCK):
-                c = code[lo : lo + B_BLOCK]
-                for i in range(len(q)):
-                    d = s.rows(q[i], b[lo : lo + B_BLOCK])
-                    low = np.full(len(names), np.inf)
-                    np.minimum.at(low, c, d)
-                    for x in np.argsort(low, kind="stable")[: n + 1]:
-                        if low[x] < held[i].get(names[x], np.inf):
-                            held[i][names[x]] = low[x]
-                    if len(held[i]) > n:
-                        held[i] = dict(sorted(held[i].items(), key=lambda z: z[1])[:n])
+                c, part = code[lo : lo + B_BLOCK], b[lo : lo + B_BLOCK]
+                order = np.argsort(c, kind="stable")
+                starts = np.flatnonzero(np.concatenate([[True], np.diff(c[order]) > 0]))
+                for top in range(0, len(q), Q_BLOCK):
+                    some = q[top : top + Q_BLOCK]
+                    approx, error = s.candidates(some, part)
+                    low = np.minimum.reduceat(approx[:, order], starts, axis=1)
+                    limit = np.partition(low, n - 1, 1)[:, n - 1] if n < low.shape[1] else np.full(len(some), np.inf)
+                    # the nearest vector of each of the n nearest documents of this block is among these
+                    i, j = np.nonzero(approx <= (limit + 2 * error[:, 0])[:, None])
+                    for k, x, d in zip((i + top).tolist(), c[j].tolist(), s.rows(some[i], part[j]).tolist(), strict=True):
+                        if d < held[k].get(names[x], np.inf):
+                            held[k][names[x]] = d
+                    for k in set((i + top).tolist()):
+                        if len(held[k]) > n:
+                            held[k] = dict(sorted(held[k].items(), key=lambda z: z[1])[:n])
         rows = [(a, x, y) for a, best in zip(qid.tolist(), held, strict=True) for x, y in best.items()]
         a, x, y = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(x, doc_type), pa.array(y, pa.float64())], ["query_id", doc, "dist"])

@@ -1,32 +1,52 @@
 """Approximate search by proximity graphs with layers, one graph for each shard of a table.
 
 A beam search hops from node to node, which as joins would be a shuffle a hop.
-Rows are therefore dealt to shards of bounded size; a worker builds or searches
-its shard's graph whole, and shards' results are merged by rank. Levels come from
-a hash of the key and ties are broken by key, so a table always has one graph.
-Links are chosen from each node's exact nearest neighbours in the shard, which a
-matrix product gives at once, instead of by inserting nodes one after the other.
+Rows are therefore dealt to shards of bounded size; a worker builds, changes or
+searches its shard's graph whole, and shards' results are merged by rank. Shards
+are cells around coarse centres, large cells in several parts, and stored by
+cell: a query looks into the shards of its nearest cells, others aren't read.
+Levels come from a hash of the key and ties are broken by key, so a table always
+has one graph.
+
+``GraphIndex.build`` chooses links from each node's exact nearest neighbours in
+the shard, which a matrix product gives at once. ``apply`` changes a built graph
+where it stands: new nodes are inserted by the construction beam, nodes that go
+or move are taken out of their neighbours' lists, which choose anew among their
+neighbours' neighbours.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from nearfield.functions.space import Space
+from nearfield.functions.space import SPACES, Space
+from nearfield.functions.storage import materialized, shared_folder
 from nearfield.functions.vectors import matrix
-from nearfield.operators.exact import _query_blocks, checked, checked_dim, collected, knn, ranked
-
-#: Rows of a shard at most, about.
-SHARD = 20_000
+from nearfield.operators.exact import ShortResult, _query_blocks, checked, checked_dim, collected, knn, ranked
+from nearfield.operators.ivf import SAMPLE, _nearest, fit_centres
+
+#: Rows of a shard at most, about; cells, whatever the size of the table.
+SHARD, CELLS = 20_000, 1024
+#: Cells up to which queries look into all by default, and the share of them beyond.
+ALL_CELLS, SOME_CELLS = 16, 8
+FORMAT = 1
 FOUND = "query_id bigint, vec_id bigint, dist double, hops bigint, distances bigint"
+OWN = ("cell", "part", "level", "links", "widths", "deleted")
+
+
+class GraphError(ValueError):
+    """A stored graph that isn't whole or isn't the one that was asked for."""
 
 
 def level_of(key: str = "vec_id", M: int = 16, seed: int = 100) -> Column:
@@ -141,45 +161,41 @@ def _connect(space: Space, x: np.ndarray, rows: np.ndarray, links: dict[int, lis
             join(r, [o for o in map(int, rows) if o != r])
 
 
-def build_shard(space: Space, ids: np.ndarray, x: np.ndarray, levels: np.ndarray, M: int, ef: int) -> list[list[list[int]]]:
-    """Links of every node on each of its layers, as ids; ``ids`` must be sorted."""
-    out: list[list[list[int]]] = [[] for _ in ids]
-    for layer in range(int(levels.max(initial=-1)) + 1):
-        for r, found in build_layer(space, x, np.flatnonzero(levels >= layer), M, 2 * M if layer == 0 else M, ef).items():
-            out[r].append(ids[found].tolist())
-    return out
-
-
-class Searcher:
-    """A shard's graph in a worker: local numbers, links by layer."""
+class Walker:
+    """Walks over a shard's graph; ``near(node, layer)`` gives a node's neighbours by local number."""
 
-    def __init__(self, space: Space, ids: np.ndarray, x: np.ndarray, links: list[list[list[int]]], allowed: np.ndarray | None = None) -> None:
+    def __init__(self, space: Space, ids: np.ndarray, x: np.ndarray, allowed: np.ndarray | None = None) -> None:
         self.space, self.ids, self.x, self.allowed = space, ids, x, allowed
-        self.links = [[np.searchsorted(ids, np.array(layer, np.int64)) for layer in node] for node in links]
-        top = np.array([len(node) for node in links])
-        self.entry = int(np.argmax(top)) if len(top) else -1
         self.stamp, self.seen = 0, np.zeros(len(ids), np.int64)
         self.hops = self.distances = 0
+        self.entry = -1
+
+    def near(self, node: int, layer: int) -> np.ndarray:
+        raise NotImplementedError
+
+    def layers(self, node: int) -> int:
+        raise NotImplementedError
 
     def _dist(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
         self.distances += len(rows)
         return self.space.rows(q[None, :], self.x[rows])
 
-    def descend(self, q: np.ndarray) -> tuple[int, float]:
+    def descend(self, q: np.ndarray, above: int = 0) -> tuple[int, float]:
+        """The node that greedy steps reach on the layers above ``above``, and its distance."""
         at = self.entry
         best = float(self._dist(q, np.array([at]))[0])
-        for layer in range(len(self.links[at]) - 1, 0, -1):
+        for layer in range(self.layers(at) - 1, above, -1):
             moved = True
             while moved:
                 self.hops += 1
-                near = self.links[at][layer]
+                near = self.near(at, layer)
                 d = self._dist(q, near)
                 moved = len(d) > 0 and float(d.min()) < best
                 if moved:
                     at, best = int(near[int(d.argmin())]), float(d.min())
         return at, best
 
-    def walk(self, q: np.ndarray, stop: Callable[[float, list], bool], trim: Callable[[list], None]) -> list[tuple[float, int]]:
+    def walk(self, q: np.ndarray, stop: Callable[[float, list], bool], trim: Callable[[list], None], layer: int = 0, start: tuple[int, float] | None = None) -> list[tuple[float, int]]:
         """Nodes found from the entry on; ``stop(head, found)`` ends it, ``trim`` drops what is too many.
 
         Nodes that aren't allowed are walked through, not returned. ``found`` is a
@@ -188,7 +204,7 @@ class Searcher:
         if self.entry < 0:
             return []
         self.stamp += 1
-        at, d = self.descend(q)
+        at, d = start or self.descend(q)
         self.seen[at] = self.stamp
         frontier, found = [(d, at)], []
         if self.allowed is None or self.allowed[at]:
@@ -198,7 +214,7 @@ class Searcher:
             if stop(d, found):
                 break
             self.hops += 1
-            near = self.links[at][0]
+            near = self.near(at, layer)
             near = near[self.seen[near] != self.stamp]
             self.seen[near] = self.stamp
             for o, e in zip(near.tolist(), self._dist(q, near).tolist(), strict=True):
@@ -209,14 +225,12 @@ class Searcher:
                         trim(found)
         return sorted((-a, -b) for a, b in found)
 
-    def knn(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
-        width = max(ef, k)
-
+    def beam(self, q: np.ndarray, width: int, layer: int = 0, start: tuple[int, float] | None = None) -> list[tuple[float, int]]:
         def trim(found: list) -> None:
             if len(found) > width:
                 heapq.heappop(found)
 
-        return self.walk(q, lambda d, found: len(found) >= width and d > -found[0][0], trim)[:k]
+        return self.walk(q, lambda d, found: len(found) >= width and d > -found[0][0], trim, layer, start)
 
     def radius(self, q: np.ndarray, eps: float, least: int) -> list[tuple[float, int]]:
         """What is found within ``eps``, going on beyond it until ``least`` nodes are found."""
@@ -227,67 +241,373 @@ class Searcher:
         """Nodes nearest to ``q``, with a beam that is widened until they belong to more than ``n`` documents."""
         width = max(16, 2 * n)
         while True:
-            out = self.knn(q, width, width)
+            out = self.beam(q, width)
             if len({docs[i] for _, i in out}) > n or width >= len(self.ids):
                 return out
             width *= 2
 
 
+class Searcher(Walker):
+    """A stored shard: all links in one array, cut by node and layer."""
+
+    def __init__(self, space: Space, ids: np.ndarray, x: np.ndarray, links: pa.Array, widths: pa.Array, allowed: np.ndarray | None = None) -> None:
+        super().__init__(space, ids, x, allowed)
+        self.links = np.searchsorted(ids, links.flatten().to_numpy(zero_copy_only=False))
+        self.widths = widths.flatten().to_numpy(zero_copy_only=False)
+        count = widths.value_lengths().to_numpy(zero_copy_only=False)
+        self.own = np.cumsum(count) - count
+        self.count = count
+        self.begin = np.concatenate([[0], np.cumsum(self.widths)])
+        self.entry = int(np.argmax(count)) if len(ids) else -1
+
+    def near(self, node: int, layer: int) -> np.ndarray:
+        k = self.own[node] + layer
+        return self.links[self.begin[k] : self.begin[k + 1]]
+
+    def layers(self, node: int) -> int:
+        return int(self.count[node])
+
+
+class Net(Walker):
+    """A shard's graph that changes: links by node and layer as lists."""
+
+    def __init__(self, space: Space, ids: np.ndarray, x: np.ndarray, links: list[list[list[int]]], M: int, ef: int) -> None:
+        super().__init__(space, ids, x)
+        self.links, self.M, self.ef = links, M, ef
+        self._enter()
+
+    def _enter(self) -> None:
+        count = [len(x) for x in self.links]
+        self.entry = int(np.argmax(count)) if any(count) else -1
+
+    def near(self, node: int, layer: int) -> np.ndarray:
+        return np.array(self.links[node][layer], np.int64)
+
+    def layers(self, node: int) -> int:
+        return len(self.links[node])
+
+    def _most(self, layer: int) -> int:
+        return 2 * self.M if layer == 0 else self.M
+
+    def _chosen(self, node: int, others: list[int], most: int) -> list[int]:
+        c = np.array(others, np.int64)
+        d = self.space.rows(self.x[node][None, :], self.x[c])
+        order = np.lexsort((c, d))
+        return select(self.space, self.x, c[order], d[order], most).tolist()
+
+    def insert(self, node: int, level: int) -> None:
+        """Links a node on each of its layers with what the construction beam finds, and back."""
+        q, self.links[node] = self.x[node], []
+        if self.entry < 0:
+            self.links[node] = [[] for _ in range(level + 1)]
+            self.entry = node
+            return
+        top = self.layers(self.entry) - 1
+        at = self.descend(q, min(level, top))
+        own: list[list[int]] = [[] for _ in range(level + 1)]
+        for layer in range(min(level, top), -1, -1):
+            found = self.beam(q, self.ef, layer, at)
+            c = np.array([i for _, i in found], np.int64)
+            own[layer] = select(self.space, self.x, c, np.array([d for d, _ in found]), self.M).tolist()
+            at = found[0][1], found[0][0]
+        self.links[node] = own
+        for layer, out in enumerate(own):
+            for o in out:
+                back = self.links[o][layer]
+                back.append(node)
+                if len(back) > self._most(layer):
+                    self.links[o][layer] = self._chosen(o, back, self._most(layer))
+        if level > top:
+            self.entry = node
+
+    def take_out(self, gone: set[int]) -> None:
+        """Removes nodes; who linked to one chooses anew among its own and the removed nodes' neighbours."""
+        before = self.links
+        self.links = [[] if i in gone else node for i, node in enumerate(before)]
+        for i, node in enumerate(self.links):
+            for layer, out in enumerate(node):
+                lost = gone.intersection(out)
+                if lost:
+                    kept = dict.fromkeys(o for o in out if o not in gone)
+                    for g in lost:
+                        kept.update(dict.fromkeys(o for o in before[g][layer] if o != i and o not in gone))
+                    node[layer] = self._chosen(i, list(kept), self._most(layer)) if kept else []
+        self._enter()
+
+    def connected(self) -> list[list[list[int]]]:
+        """The links once every node of every layer can be reached."""
+        count = np.array([len(x) for x in self.links])
+        for layer in range(int(count.max(initial=0))):
+            rows = np.flatnonzero(count > layer)
+            if len(rows) > 1:
+                links = {int(r): self.links[r][layer] for r in rows}
+                _connect(self.space, self.x, rows, links, self._most(layer))
+        return self.links
+
+
+class Stop:
+    """Ends a walk; subclass it for conditions of one's own. A new one is made for each query and shard.
+
+    ``ends(dist, found)`` tells whether a walk that has found so many nodes, a heap
+    of (-dist, ...), need not look at a node at ``dist``; ``trim`` may drop
+    the worst of them by ``heapq.heappop``.
+    """
+
+    def ends(self, dist: float, found: list) -> bool:
+        raise NotImplementedError
+
+    def trim(self, found: list) -> None:
+        pass
+
+
+def _flat(links: list[list[list[int]]], ids: np.ndarray, rows: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Columns ``links`` (ids, layer after layer) and ``widths`` (links on each layer)."""
+    flat = [[int(ids[o]) for layer in links[r] for o in sorted(layer)] for r in rows.tolist()]
+    return pa.array(flat, pa.list_(pa.int64())), pa.array([[len(layer) for layer in links[r]] for r in rows.tolist()], pa.list_(pa.int32()))
+
+
+def build_shard(space: Space, x: np.ndarray, levels: np.ndarray, M: int, ef: int) -> list[list[list[int]]]:
+    """Links of every node on each of its layers, by number."""
+    out: list[list[list[int]]] = [[] for _ in x]
+    for layer in range(int(levels.max(initial=-1)) + 1):
+        for r, found in build_layer(space, x, np.flatnonzero(levels >= layer), M, 2 * M if layer == 0 else M, ef).items():
+            out[r].append(found.tolist())
+    return out
+
+
+def layered(links: str = "links", widths: str = "widths") -> Column:
+    """The links of each layer as an array of arrays."""
+    before = lambda n: F.aggregate(F.slice(F.col(widths), 1, n), F.lit(0), lambda t, w: t + w)
+    return F.transform(F.sequence(F.lit(0), F.size(widths) - 1), lambda n: F.slice(F.col(links), before(n) + 1, F.element_at(widths, n + 1)))
+
+
+def _ddl(df: DataFrame, *without: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in without)
+
+
 @dataclass
 class GraphIndex:
-    """``rows``: the base's columns with ``shard``, ``level`` and ``links`` (ids by layer)."""
+    """``rows``: the base's columns with ``cell, part, level, links`` (ids, layer after layer), ``widths`` (links on each layer) and ``deleted``.
+
+    Deleted rows are walked through, not returned.
+    """
 
     rows: DataFrame
     space: Space
     dim: int
+    centres: np.ndarray
     M: int = 16
     ef: int = 10
+    ef_construction: int = 100
+    seed: int = 100
+    shard_rows: int = SHARD
+    probes: int | None = None
 
     @classmethod
-    def build(cls, base: DataFrame, space: str | Space = "l2", M: int = 16, ef_construction: int = 100, ef: int = 10, seed: int = 100, shard_rows: int = SHARD, dim: int | None = None) -> GraphIndex:
-        """Graphs of shards of about ``shard_rows`` rows, dealt by a hash of the key."""
+    def build(cls, base: DataFrame, space: str | Space = "l2", M: int = 16, ef_construction: int = 100, ef: int = 10, seed: int = 100, shard_rows: int = SHARD, dim: int | None = None, probes: int | None = None) -> GraphIndex:
+        """Graphs of shards of about ``shard_rows`` rows, written to the shared folder at once.
+
+        Rows go to the cell of their nearest centre (at most ``CELLS``, fitted on a
+        bounded sample) and, where a cell has more rows than a shard, to one of its
+        parts by a hash of the key. A column ``deleted`` of ``base`` is kept.
+        """
         s = Space.parse(space)
         dim = checked_dim(base, dim)
-        shards = max(1, math.ceil(base.count() / shard_rows))
-        M, ef_construction = min(M, 10_000), max(ef_construction, M)
-        rows = base.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("level", level_of("vec_id", M, seed))
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "links array<array<bigint>>"])
+        n = base.count()
+        cells = min(CELLS, max(1, math.ceil(n / shard_rows)))
+        centres = np.zeros((1, dim))
+        if cells > 1:
+            taken = base.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+            centres = fit_centres(s.prepare(matrix(taken["embedding"], dim)), cells)
+        M = min(M, 10_000)
+        index = cls(base, s, dim, centres, M, ef, max(ef_construction, M), seed, shard_rows, probes)
+        base = base if "deleted" in base.columns else base.withColumn("deleted", F.lit(False))
+        placed = index._placed(base)
+        if len(centres) > 1 or n > shard_rows:
+            sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+            parts = F.element_at(F.lit([max(1, math.ceil(sizes.get(c, 0) / shard_rows)) for c in range(len(centres))]), F.col("cell") + 1)
+        else:
+            parts = F.lit(1)
+        rows = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int")).withColumn("level", level_of("vec_id", M, seed))
+        ef_construction = index.ef_construction
 
         def build(group: pa.Table) -> pa.Table:
             group = group.sort_by("vec_id")
             ids = group["vec_id"].to_numpy().astype(np.int64)
-            links = build_shard(s, ids, s.prepare(matrix(group["embedding"], dim)), group["level"].to_numpy(), M, ef_construction)
-            return group.append_column("links", pa.array(links, pa.list_(pa.list_(pa.int64()))))
+            links = build_shard(s, s.prepare(matrix(group["embedding"], dim)), group["level"].to_numpy(), M, ef_construction)
+            flat, widths = _flat(links, ids, np.arange(len(ids)))
+            return group.append_column("links", flat).append_column("widths", widths)
+
+        built = rows.groupBy("cell", "part").applyInArrow(build, _ddl(rows) + ", links array<bigint>, widths array<int>")
+        return replace(index, rows=index._stored(built))
 
-        return cls(rows.groupBy("shard").applyInArrow(build, schema), s, dim, M, ef)
+    def _placed(self, base: DataFrame) -> DataFrame:
+        """``base`` with the cell of each row's nearest centre."""
+        s, dim, centres = self.space, self.dim, self.centres
+        if len(centres) == 1:
+            return base.withColumn("cell", F.lit(0))
+        names = base.columns
+
+        def place(batches):
+            for b in batches:
+                cell = _nearest(s.prepare(matrix(b.column("embedding"), dim)), centres)[:, 0] if b.num_rows else np.empty(0, int)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32())], [*names, "cell"])
+
+        return base.mapInArrow(place, _ddl(base) + ", cell int")
+
+    def _stored(self, rows: DataFrame) -> DataFrame:
+        """``rows`` written by cell to the shared folder and read again, so that no search makes them anew."""
+        spark, path = rows.sparkSession, shared_folder(rows.sparkSession, "graph")
+        rows.write.partitionBy("cell").parquet(path)
+        return spark.read.schema(rows.schema).parquet(path).select(rows.columns)
+
+    # --- changing ---------------------------------------------------------
+
+    def apply(self, changes: DataFrame) -> GraphIndex:
+        """The graph after ``changes``: rows with ``op`` 'upsert' (all columns of the base) or 'remove' (``vec_id``), each key once.
+
+        Only shards that a change falls into are read and written. A new version
+        that is nearest to another centre moves to that cell.
+        """
+        s, dim, M, ef = self.space, self.dim, self.M, self.ef_construction
+        kept = [f.name for f in self.rows.schema if f.name not in ("links", "widths")]
+        known = self.rows.select("vec_id", F.col("cell").alias("_cell"), F.col("part").alias("_part"))
+        for f in self.rows.schema:  # removals alone need no more than keys
+            if f.name not in OWN and f.name not in changes.columns:
+                changes = changes.withColumn(f.name, F.lit(None).cast(f.dataType))
+        new = changes.where("op = 'upsert'")
+        if "deleted" not in new.columns:
+            new = new.withColumn("deleted", F.lit(False))
+        parts = self.rows.groupBy("cell").agg((F.max("part") + 1).alias("parts"))
+        new = self._placed(new.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.rows.schema if f.name not in OWN or f.name == "deleted")))
+        new = new.join(F.broadcast(parts), "cell", "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        new = new.withColumn("level", level_of("vec_id", M, self.seed)).select(*kept).withColumn("op", F.lit("upsert"))
+        # what is stored under a changed key goes out of its shard, or is updated there
+        old = known.join(changes.select("vec_id").distinct(), "vec_id", "left_semi")
+        moved = old.join(new.select("vec_id", "cell", "part"), "vec_id", "left").where("cell is null or cell <> _cell or part <> _part")
+        gone = moved.select(F.col("vec_id"), F.col("_cell").alias("cell"), F.col("_part").alias("part"))
+        out = [F.col(c) if c in gone.columns else F.lit("remove").alias(c) if c == "op" else F.lit(None).cast(new.schema[c].dataType).alias(c) for c in new.columns]
+        delta = materialized(new.unionByName(gone.select(*out)))
+        touched = F.broadcast(materialized(delta.select("cell", "part").distinct()))  # no more rows than there are shards
+        schema = _ddl(self.rows)
+        order = [f.name for f in self.rows.schema]
+
+        def change(old: pa.Table, new: pa.Table) -> pa.Table:
+            if not new.num_rows:
+                return old.select(order)
+            added = new.filter(pc.equal(new["op"], "upsert")).sort_by("vec_id").select(kept)
+            old = old.sort_by("vec_id")
+            before, upserts = old["vec_id"].to_numpy().astype(np.int64), added["vec_id"].to_numpy().astype(np.int64)
+            ids = np.union1d(before, upserts)
+            x = np.zeros((len(ids), dim))
+            was, now = np.searchsorted(ids, before), np.searchsorted(ids, upserts)
+            x[was] = s.prepare(matrix(old["embedding"], dim)) if len(was) else x[was]
+            links: list[list[list[int]]] = [[] for _ in ids]
+            for i, out, widths in zip(was.tolist(), old["links"].to_pylist(), old["widths"].to_pylist(), strict=True):
+                cut = np.cumsum([0, *widths])
+                out = np.searchsorted(ids, np.array(out, np.int64))
+                links[i] = [out[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            net = Net(s, ids, x, links, M, ef)
+            lost = set(np.searchsorted(ids, np.intersect1d(before, new["vec_id"].to_numpy())).tolist())
+            net.take_out(lost)
+            x[now] = s.prepare(matrix(added["embedding"], dim)) if len(now) else x[now]
+            for i, level in zip(now.tolist(), added["level"].to_pylist(), strict=True):
+                net.insert(i, level)
+            links = net.connected()
+            stay = np.array([i for i in was.tolist() if i not in lost], np.int64)
+            rows = pa.concat_tables([old.select(kept).take(pa.array(np.searchsorted(before, ids[stay]))).cast(added.schema), added])
+            flat, widths = _flat(links, ids, np.concatenate([stay, now]).astype(np.int64))
+            return rows.append_column("links", flat).append_column("widths", widths).select(order)
+
+        mine = self.rows.join(touched, ["cell", "part"], "left_semi").select(order)
+        changed = mine.groupBy("cell", "part").cogroup(delta.groupBy("cell", "part")).applyInArrow(change, schema)
+        return replace(self, rows=self.rows.join(touched, ["cell", "part"], "left_anti").select(order).unionByName(self._stored(changed)))
+
+    def mark(self, keys: DataFrame, deleted: bool = True) -> GraphIndex:
+        """Rows of ``keys`` marked as deleted, or restored; links stay."""
+        marked = keys.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(deleted).alias("_to")).distinct()
+        marked = materialized(marked)
+        rows = self.rows.join(marked, "vec_id", "left").withColumn("deleted", F.coalesce("_to", "deleted")).select(self.rows.columns)
+        return replace(self, rows=rows)
+
+    # --- storing ----------------------------------------------------------
 
     def save(self, path: str) -> None:
-        self.rows.write.parquet(path)
+        """Rows by cell, then parameters and the row count as one JSON line, then centres."""
+        spark = self.rows.sparkSession
+        self.rows.write.partitionBy("cell").parquet(f"{path}/rows")
+        meta = {"format": FORMAT, "rows": spark.read.parquet(f"{path}/rows").count(), "columns": self.rows.schema.json(), "space": self.space.name} | {k: getattr(self, k) for k in ("dim", "M", "ef", "ef_construction", "seed", "shard_rows", "probes")}
+        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centres)], "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
+        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/parameters")
 
     @classmethod
-    def load(cls, spark, path: str, space: str | Space, dim: int, **options) -> GraphIndex:
-        return cls(spark.read.parquet(path), Space.parse(space), dim, **options)
+    def load(cls, spark, path: str, space: str | Space | None = None, dim: int | None = None, **options) -> GraphIndex:
+        """A saved graph with its parameters, or others given; ``GraphError`` if it isn't whole or has another space, dimension or format.
 
-    def _search(self, queries: DataFrame, where: Column | str | None, one: Callable[[Searcher, np.ndarray, pa.Table], list], more: str | None = None) -> DataFrame:
+        A space of one's own has to be given again.
+        """
+        try:
+            meta = json.loads(spark.read.text(f"{path}/parameters").first()["value"])
+            centres = np.array([r["centre"] for r in sorted(spark.read.parquet(f"{path}/centres").collect())])
+            rows = spark.read.schema(StructType.fromJson(json.loads(meta.pop("columns")))).parquet(f"{path}/rows")
+        except Exception as e:
+            raise GraphError(f"no graph can be opened at {path}") from e
+        n, names = meta.pop("rows"), {"vec_id", "embedding", *OWN}
+        if meta.pop("format") != FORMAT or not names <= {*rows.columns} or rows.count() != n:
+            raise GraphError(f"the graph at {path} isn't whole, or of another format")
+        named = meta.pop("space")
+        asked = named if space is None else space.name if isinstance(space, Space) else space
+        if asked != named or dim not in (None, meta["dim"]) or centres.shape[1:] != (meta["dim"],):
+            raise GraphError(f"the graph at {path} is of space {named!r} and {meta['dim']} dimensions")
+        if not isinstance(space, Space) and named not in SPACES:
+            raise GraphError(f"the space {named!r} has to be given")
+        return cls(rows, Space.parse(space or named), meta.pop("dim"), centres, **(meta | options))
+
+    # --- searching --------------------------------------------------------
+
+    def _probed(self, q: np.ndarray, probes: int | None) -> np.ndarray:
+        """(query, cell): whether a query looks into a cell."""
+        cells = len(self.centres)
+        n = probes or self.probes or (cells if cells <= ALL_CELLS else max(ALL_CELLS, cells // SOME_CELLS))
+        out = np.zeros((len(q), cells), bool)
+        if len(q):
+            np.put_along_axis(out, _nearest(q, self.centres, min(n, cells)), True, 1)
+        return out
+
+    def share_read(self, queries: DataFrame, probes: int | None = None) -> float:
+        """The share of all rows in the cells that a query looks into, on average."""
+        _, q = collected(queries, self.dim, self.space)
+        sizes = {r["cell"]: r["count"] for r in self.rows.groupBy("cell").count().collect()}
+        each = np.array([sizes.get(c, 0) for c in range(len(self.centres))])
+        return float((self._probed(q, probes) @ each).mean() / max(1, each.sum())) if len(q) else 0.0
+
+    def _search(self, queries: DataFrame, where: Column | str | None, one: Callable[[Searcher, np.ndarray, pa.Table], list], more: str | None = None, probes: int | None = None) -> DataFrame:
         dim, n = checked(queries, self.dim)
-        return _query_blocks(queries, n, dim, lambda q: self._search_block(q, where, one, more))
+        return _query_blocks(queries, n, dim, lambda q: self._search_block(q, where, one, more, probes))
 
-    def _search_block(self, queries: DataFrame, where: Column | str | None, one: Callable[[Searcher, np.ndarray, pa.Table], list], more: str | None) -> DataFrame:
+    def _search_block(self, queries: DataFrame, where: Column | str | None, one: Callable[[Searcher, np.ndarray, pa.Table], list], more: str | None, probes: int | None) -> DataFrame:
         s, dim = self.space, self.dim
-        shared = self.rows.sparkSession.sparkContext.broadcast(collected(queries, dim, s))
-        allowed = F.expr(where) if isinstance(where, str) else where
-        rows = self.rows.select("shard", F.col("vec_id").cast("long").alias("vec_id"), "embedding", "links", (F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))).alias("allowed"), *([more] if more else []))
+        ids, vectors = collected(queries, dim, s)
+        into = self._probed(vectors, probes)
+        shared = self.rows.sparkSession.sparkContext.broadcast((ids, vectors, into))
+        allowed = F.lit(True) if where is None else F.expr(where) if isinstance(where, str) else where
+        allowed = F.coalesce(allowed, F.lit(False)) & ~F.col("deleted")
+        used = np.flatnonzero(into.any(0)).tolist()
+        rows = self.rows if len(used) == len(self.centres) else self.rows.where(F.col("cell").isin(used))
+        rows = rows.select("cell", "part", F.col("vec_id").cast("long").alias("vec_id"), "embedding", "links", "widths", allowed.alias("allowed"), *([more] if more else []))
 
         def run(group: pa.Table) -> pa.Table:
-            group = group.sort_by("vec_id")
-            qid, q = shared.value
+            group = group.sort_by("vec_id").combine_chunks()
+            qid, q, into = shared.value
+            mine = np.flatnonzero(into[:, group["cell"][0].as_py()])
             can = group["allowed"].to_numpy()
-            shard = Searcher(s, group["vec_id"].to_numpy(), s.prepare(matrix(group["embedding"], dim)), group["links"].to_pylist(), None if can.all() else can)
+            column = lambda name: group[name].chunk(0)
+            shard = Searcher(s, group["vec_id"].to_numpy(), s.prepare(matrix(group["embedding"], dim)), column("links"), column("widths"), None if can.all() else can)
             out = []
-            for i, v in zip(qid.tolist(), q, strict=True):
+            for i in mine.tolist():
                 shard.hops = shard.distances = 0
-                found = one(shard, v, group)
-                out += [(i, int(shard.ids[n]), d, shard.hops, shard.distances, n) for d, n in found]
+                found = one(shard, q[i], group)
+                out += [(int(qid[i]), int(shard.ids[n]), d, shard.hops, shard.distances, n) for d, n in found]
             columns = list(zip(*out, strict=True)) if out else [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
@@ -296,38 +616,60 @@ class GraphIndex:
             return pa.table(arrays, ["query_id", "vec_id", "dist", "hops", "distances", *([more] if more else [])])
 
         kind = f", `{more}` {self.rows.schema[more].dataType.simpleString()}" if more else ""
-        return rows.groupBy("shard").applyInArrow(run, FOUND + kind)
+        return rows.groupBy("cell", "part").applyInArrow(run, FOUND + kind)
 
-    def knn(self, queries: DataFrame, k: int = 1, ef: int | None = None, where: Column | str | None = None, exact_if_short: bool = True) -> DataFrame:
+    def knn(self, queries: DataFrame, k: int = 1, ef: int | None = None, where: Column | str | None = None, on_short: str = "exact", probes: int | None = None) -> DataFrame:
         """(query_id, vec_id, dist, hops, distances, rank): each shard's beam of width max(ef, k), merged.
 
-        Rows that ``where`` refuses are walked through. A query that finds fewer
-        than ``k`` is answered by exact search if ``exact_if_short``; its counters are null.
+        Deleted rows and rows that ``where`` refuses are walked through. Queries that
+        find fewer than ``k`` are answered by exact search with ``on_short='exact'``
+        (their counters are null), raise ``ShortResult`` with 'error' and keep what
+        they found with 'partial'.
         """
+        if on_short not in ("exact", "error", "partial"):
+            raise ValueError("on_short is 'exact', 'error' or 'partial'")
         ef = ef or self.ef
-        found = ranked(self._search(queries, where, lambda shard, q, _: shard.knn(q, k, ef)), k)
-        if where is None or not exact_if_short:
+        found = ranked(self._search(queries, where, lambda shard, q, _: shard.beam(q, max(ef, k))[:k], probes=probes), k)
+        if on_short == "partial":
             return found
-        full = found.groupBy("query_id").count().where(F.col("count") == k)
+        full = found.groupBy("query_id").count().where(F.col("count") == k).select("query_id")
         missing = queries.join(full, "query_id", "left_anti")
-        exact = knn(self.rows, missing, k, self.space, where, "blocked", dim=self.dim).select("query_id", "vec_id", "dist", F.lit(None).cast("bigint").alias("hops"), F.lit(None).cast("bigint").alias("distances"), "rank")
+        n = missing.count()
+        if not n:
+            return found
+        if on_short == "error":
+            raise ShortResult(f"{n} queries have fewer than {k} neighbours")
+        base = self.rows.where("not deleted")
+        if where is not None:
+            base = base.where(where)
+        exact = knn(base.select("vec_id", "embedding"), missing, k, self.space, None, "blocked", dim=self.dim).select("query_id", "vec_id", "dist", F.lit(None).cast("bigint").alias("hops"), F.lit(None).cast("bigint").alias("distances"), "rank")
         return found.join(full, "query_id", "left_semi").select(exact.columns).unionByName(exact)
 
-    def radius(self, queries: DataFrame, eps: float, min_candidates: int = 100, max_results: int | None = None, where: Column | str | None = None) -> DataFrame:
+    def search_until(self, queries: DataFrame, stop: Callable[[], Stop], where: Column | str | None = None, probes: int | None = None) -> DataFrame:
+        """(query_id, vec_id, dist, hops, distances, rank): what each shard's walk finds until a condition of one's own ends it."""
+
+        def one(shard: Searcher, q: np.ndarray, _: pa.Table) -> list:
+            condition = stop()
+            return shard.walk(q, condition.ends, condition.trim)
+
+        found = self._search(queries, where, one, probes=probes)
+        return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "vec_id")))
+
+    def radius(self, queries: DataFrame, eps: float, min_candidates: int = 100, max_results: int | None = None, where: Column | str | None = None, probes: int | None = None) -> DataFrame:
         """Rows that each shard's walk finds within ``eps``; it goes on until it has ``min_candidates``."""
-        found = self._search(queries, where, lambda shard, q, _: shard.radius(q, eps, min_candidates))
+        found = self._search(queries, where, lambda shard, q, _: shard.radius(q, eps, min_candidates), probes=probes)
         if max_results is not None:
             return ranked(found, max_results)
         return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "vec_id")))
 
-    def top_docs(self, queries: DataFrame, num_docs: int, doc: str = "doc_id", ef_collection: int = 10, where: Column | str | None = None) -> DataFrame:
+    def top_docs(self, queries: DataFrame, num_docs: int, doc: str = "doc_id", ef_collection: int = 10, where: Column | str | None = None, probes: int | None = None) -> DataFrame:
         """Vectors of the nearest ``num_docs`` documents, cut as in exact search; a shard goes on until it has more than max(ef_collection, num_docs)."""
         n = max(ef_collection, num_docs)
 
         def one(shard: Searcher, q: np.ndarray, group: pa.Table) -> list:
             return shard.documents(q, np.array(group[doc].to_pylist(), object), n)
 
-        found = self._search(queries, where, one, doc)
+        found = self._search(queries, where, one, doc, probes)
         low = found.groupBy("query_id", doc).agg(F.min("dist").alias("low"))
         nth = low.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("low"))).where(F.col("n") == num_docs + 1)
         kept = found.join(nth.select("query_id", F.col("low").alias("cutoff")), "query_id", "left").where(F.col("cutoff").isNull() | (F.col("dist") < F.col("cutoff")))
@@ -336,12 +678,12 @@ class GraphIndex:
 
     def integrity(self) -> DataFrame:
         """One row a layer: nodes, links, faulty links of each kind, nodes without inbound link, and inbound counts."""
-        layers = self.rows.select("shard", F.col("vec_id").alias("node"), F.posexplode("links").alias("layer", "out"))
-        nodes = layers.select("shard", "layer", "node")
-        links = layers.select("shard", "layer", "node", F.explode("out").alias("to"))
-        known = links.join(nodes.withColumnRenamed("node", "to").withColumn("known", F.lit(1)), ["shard", "layer", "to"], "left")
-        per_link = known.groupBy("layer").agg(F.count("*").alias("links"), F.count(F.when(F.col("node") == F.col("to"), 1)).alias("self_links"), F.count(F.when(F.col("known").isNull(), 1)).alias("unknown_links"), (F.count("*") - F.countDistinct("shard", "node", "to")).alias("repeated_links"))
-        inbound = nodes.join(links.groupBy("shard", "layer", F.col("to").alias("node")).agg(F.count("*").alias("n")), ["shard", "layer", "node"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        sizes = nodes.groupBy("shard", "layer").agg(F.count("*").alias("size"))
-        lone = inbound.join(sizes, ["shard", "layer"]).groupBy("layer").agg(F.count("*").alias("nodes"), F.count(F.when((F.col("n") == 0) & (F.col("size") > 1), 1)).alias("unlinked"), F.min("n").alias("min_inbound"), F.max("n").alias("max_inbound"))
+        layers = self.rows.select("cell", "part", F.col("vec_id").alias("node"), F.posexplode(layered()).alias("layer", "out"))
+        nodes = layers.select("cell", "part", "layer", "node")
+        links = layers.select("cell", "part", "layer", "node", F.explode("out").alias("to"))
+        known = links.join(nodes.withColumnRenamed("node", "to").withColumn("known", F.lit(1)), ["cell", "part", "layer", "to"], "left")
+        per_link = known.groupBy("layer").agg(F.count("*").alias("links"), F.count(F.when(F.col("node") == F.col("to"), 1)).alias("self_links"), F.count(F.when(F.col("known").isNull(), 1)).alias("unknown_links"), (F.count("*") - F.countDistinct("cell", "part", "node", "to")).alias("repeated_links"))
+        inbound = nodes.join(links.groupBy("cell", "part", "layer", F.col("to").alias("node")).agg(F.count("*").alias("n")), ["cell", "part", "layer", "node"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        sizes = nodes.groupBy("cell", "part", "layer").agg(F.count("*").alias("size"))
+        lone = inbound.join(sizes, ["cell", "part", "layer"]).groupBy("layer").agg(F.count("*").alias("nodes"), F.count(F.when((F.col("n") == 0) & (F.col("size") > 1), 1)).alias("unlinked"), F.min("n").alias("min_inbound"), F.max("n").alias("max_inbound"))
         return lone.join(per_link, "layer", "left").na.fill(0)

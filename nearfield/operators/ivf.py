@@ -73,11 +73,17 @@ class CellIndex:
     def save(self, path: str) -> None:
         spark = self.rows.sparkSession
         self.rows.write.partitionBy("cell").parquet(f"{path}/rows")
-        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centres)], "cell int, centre array<double>").write.parquet(f"{path}/centres")
+        spark.createDataFrame([(i, c.tolist(), self.space.name) for i, c in enumerate(self.centres)], "cell int, centre array<double>, space string").write.parquet(f"{path}/centres")
 
     @classmethod
-    def load(cls, spark, path: str, space: str | Space = "l2") -> CellIndex:
+    def load(cls, spark, path: str, space: str | Space | None = None) -> CellIndex:
+        """Stored cells; ``ValueError`` if they are of another space. A space of one's own has to be given again."""
         centres = sorted(spark.read.parquet(f"{path}/centres").collect())
+        named = centres[0]["space"] if centres else None
+        asked = named if space is None else space.name if isinstance(space, Space) else space
+        if not centres or asked != named:
+            raise ValueError(f"{path} has cells of space {named!r}")
+        space = space or named
         return cls(spark.read.parquet(f"{path}/rows"), np.array([r["centre"] for r in centres]), Space.parse(space), len(centres[0]["centre"]))
 
     def knn(self, queries: DataFrame, k: int, nprobe: int, where: Column | str | None = None) -> DataFrame:
@@ -88,6 +94,13 @@ class CellIndex:
         dim, n = checked(queries, self.dim)
         return ranked(_query_blocks(queries, n, dim, lambda q: self._knn_block(q, k, nprobe, where)), k)
 
+    def share_read(self, queries: DataFrame, nprobe: int) -> float:
+        """The share of all rows in the cells that a query looks into, on average."""
+        _, q = collected(queries, self.dim, self.space)
+        sizes = {r["cell"]: r["count"] for r in self.rows.groupBy("cell").count().collect()}
+        each = np.array([sizes.get(c, 0) for c in range(len(self.centres))])
+        return float(each[_nearest(q, self.centres, nprobe)].sum(1).mean() / max(1, each.sum())) if len(q) else 0.0
+
     def _knn_block(self, queries: DataFrame, k: int, nprobe: int, where: Column | str | None) -> DataFrame:
         s, dim = self.space, self.dim
         qid, q = collected(queries, dim, s)

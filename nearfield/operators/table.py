@@ -9,12 +9,15 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.space import SPACES, Space
+from nearfield.functions.storage import materialized
 from nearfield.functions.vectors import check_schema, check_vectors, with_sequence
 from nearfield.operators import exact
+from nearfield.operators.graph import SHARD, GraphIndex
 
 FORMAT = 1
 #: The most links of a node that are taken; the default beam width.
@@ -40,7 +43,7 @@ class Parameters:
 
     def __post_init__(self) -> None:
         if self.space not in SPACES:
-            raise ValueError(f"space must be one of {', '.join(SPACES)}, not {self.space!r}")
+            raise ValueError(f"there is no space {self.space!r}; known ones are {', '.join(SPACES)}")
         if self.dim < 1 or self.M < 1 or self.ef < 1 or self.ef_construction < 1:
             raise ValueError("dim, M, ef and ef_construction must be 1 or more")
         object.__setattr__(self, "M", min(self.M, MOST_LINKS))
@@ -48,10 +51,10 @@ class Parameters:
 
 
 class VectorTable:
-    """Rows of ``vec_id, embedding, deleted`` and any payload columns, with parameters."""
+    """Rows of ``vec_id, embedding, deleted`` and any payload columns, with parameters and, once ``index`` is called, a graph that follows every change."""
 
-    def __init__(self, rows: DataFrame, parameters: Parameters, path: str | None = None) -> None:
-        self.rows, self.parameters, self.path = rows, parameters, path
+    def __init__(self, rows: DataFrame, parameters: Parameters, path: str | None = None, graph: GraphIndex | None = None) -> None:
+        self.rows, self.parameters, self.path, self.graph = rows, parameters, path, graph
 
     # --- making -----------------------------------------------------------
 
@@ -68,11 +71,32 @@ class VectorTable:
         ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in ("vec_id", "embedding", "deleted")]
         return cls.create(df.sparkSession, space, dim, ", ".join(ddl), **options).upsert(df)
 
-    def _with(self, rows: DataFrame | None = None, **changes) -> VectorTable:
-        return VectorTable(self.rows if rows is None else rows, replace(self.parameters, **changes))
+    def _with(self, rows: DataFrame | None = None, graph: GraphIndex | None = None, **changes) -> VectorTable:
+        return VectorTable(self.rows if rows is None else rows, replace(self.parameters, **changes), None, graph or (self.graph if rows is None else None))
+
+    def _followed(self, rows: DataFrame, new: DataFrame | None = None, gone: DataFrame | None = None) -> VectorTable:
+        """The table of ``rows``; its graph takes in the rows ``new`` and lets the keys ``gone`` go."""
+        if self.graph is None:
+            return self._with(rows)
+        changes, rows = None, materialized(rows)
+        if new is not None:
+            changes = new.withColumn("op", F.lit("upsert"))
+        if gone is not None:
+            out = gone.select("vec_id").withColumn("op", F.lit("remove"))
+            changes = out if changes is None else changes.unionByName(out, allowMissingColumns=True)
+        return self._with(rows, self.graph.apply(changes))
+
+    def index(self, shard_rows: int = SHARD, probes: int | None = None) -> VectorTable:
+        """The table with a graph of its rows, made by its ``M``, ``ef_construction`` and ``random_seed``.
+
+        ``knn`` then walks the graph with the table's ``ef``; inserts, updates,
+        deletions, restorations, replacements and removals change the graph too.
+        """
+        p = self.parameters
+        return self._with(graph=GraphIndex.build(self.rows, p.space, p.M, p.ef_construction, p.ef, p.random_seed, shard_rows, p.dim, probes))
 
     def clone(self) -> VectorTable:
-        return VectorTable(self.rows, self.parameters, self.path)
+        return VectorTable(self.rows, self.parameters, self.path, self.graph)
 
     def __getstate__(self) -> dict:
         """A table that was loaded is pickled as its path; others have to be saved first."""
@@ -107,16 +131,20 @@ class VectorTable:
     def is_deleted(self, keys: DataFrame) -> DataFrame:
         return self._strictly(keys, None, "aren't in the table").select("vec_id", "deleted")
 
-    def get(self, ids: DataFrame | None = None, normalized: bool = False, strict: bool = True) -> DataFrame:
-        """Rows of the given ``vec_id``, deleted ones not counting; all live rows without ``ids``.
+    def get(self, ids: DataFrame | None = None, normalized: bool = False, strict: bool = True, ordered: bool = True) -> DataFrame:
+        """Rows of the given ``vec_id``, deleted ones not counting, in the order asked; all live rows without ``ids``.
 
-        Repeated ids give repeated rows. Ids that aren't there raise ``KeyError`` if ``strict``.
+        Repeated ids give repeated rows. Ids that aren't there raise ``KeyError`` if
+        ``strict``. Without ``ordered`` neither the ids are numbered nor the rows sorted.
         """
         found = self.live
         if ids is not None:
             if strict and (n := ids.join(found, "vec_id", "left_anti").count()):
                 raise KeyError(f"{n} ids aren't in the table")
-            found = ids.select("vec_id").join(found, "vec_id")
+            if ordered:
+                found = with_sequence(ids.select("vec_id"), 0, "_asked").join(found, "vec_id").orderBy("_asked").drop("_asked")
+            else:
+                found = ids.select("vec_id").join(found, "vec_id")
         if normalized:
             found = found.withColumn("embedding", Space.parse(self.parameters.space).prepare_column(F.col("embedding")))
         return found
@@ -172,7 +200,7 @@ class VectorTable:
                 raise TableError("a deleted key can't be updated while its place may be replaced")
         rows = self.rows.join(new, "vec_id", "left_anti").select(self.rows.columns).unionByName(new)
         self._capacity(rows)
-        return self._with(rows)
+        return self._followed(rows, new)
 
     def replace_deleted(self, df: DataFrame) -> VectorTable:
         """As ``upsert``, but each new key takes the place of a deleted one, the smallest first, which is then gone."""
@@ -184,7 +212,7 @@ class VectorTable:
         replaced = self.rows.where("deleted").join(new, "vec_id", "left_anti").select("vec_id").orderBy("vec_id").limit(fresh)
         rows = self.rows.join(replaced, "vec_id", "left_anti").join(new, "vec_id", "left_anti").select(self.rows.columns).unionByName(new)
         self._capacity(rows)
-        return self._with(rows)
+        return self._followed(rows, new, replaced)
 
     def _strictly(self, keys: DataFrame, state: bool | None, why: str, strict: bool = True) -> DataFrame:
         """The rows of ``keys``; ``KeyError`` or ``TableError`` if some are missing or in the other state."""
@@ -210,11 +238,11 @@ class VectorTable:
         self._strictly(keys, state, why, strict)
         marked = keys.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(state).alias("_to")).distinct()
         rows = self.rows.join(marked, "vec_id", "left").withColumn("deleted", F.coalesce("_to", "deleted")).select(self.rows.columns)
-        return self._with(rows)
+        return self._with(rows) if self.graph is None else self._with(materialized(rows), self.graph.mark(keys, state))
 
     def remove(self, keys: DataFrame) -> VectorTable:
         """Removes rows for good; unknown keys are passed over."""
-        return self._with(self.rows.join(keys, "vec_id", "left_anti"))
+        return self._followed(self.rows.join(keys, "vec_id", "left_anti"), gone=self.rows.join(keys, "vec_id", "left_semi"))
 
     def resize(self, max_elements: int) -> VectorTable:
         if max_elements < (n := self.count()):
@@ -222,6 +250,7 @@ class VectorTable:
         return self._with(max_elements=max_elements)
 
     def set_ef(self, ef: int) -> VectorTable:
+        """The table with another beam width of searches in its graph."""
         return self._with(ef=ef)
 
     # --- searching --------------------------------------------------------
@@ -230,6 +259,18 @@ class VectorTable:
         return self.live if where is None else self.live.where(where)
 
     def knn(self, queries: DataFrame, k: int = 1, where: Column | str | None = None, method: str = "auto", on_short: str = "partial") -> DataFrame:
+        """(query_id, vec_id, dist, rank): by the graph (``method`` 'graph', or 'auto' if there is one), else exact.
+
+        Where the graph finds fewer than ``k`` of enough rows, it is asked again
+        exactly; ``on_short`` says what to do where there are too few.
+        """
+        if method == "graph" and self.graph is None:
+            raise TableError("the table has no graph: call index() first")
+        if method == "graph" or method == "auto" and self.graph is not None:
+            found = self.graph.knn(queries, k, self.parameters.ef, where).select("query_id", "vec_id", "dist", "rank")
+            if on_short == "error" and (n := queries.join(found.where(F.col("rank") == k), "query_id", "left_anti").count()):
+                raise exact.ShortResult(f"{n} queries have fewer than {k} neighbours")
+            return found
         return exact.knn(self._searched(where), queries, k, self.parameters.space, None, method, on_short, self.parameters.dim)
 
     def radius(self, queries: DataFrame, eps: float, max_results: int | None = None, where: Column | str | None = None) -> DataFrame:
@@ -241,11 +282,13 @@ class VectorTable:
     # --- storing ----------------------------------------------------------
 
     def save(self, path: str, partitions: int | None = None, mode: str = "errorifexists") -> None:
-        """Writes the table below ``path``: rows as Parquet, parameters with the row count as one JSON line, last."""
+        """Writes the table below ``path``: rows as Parquet, the graph if there is one, parameters with the row count as one JSON line, last."""
         rows = self.rows.repartition(partitions) if partitions else self.rows
         rows.write.mode(mode).parquet(f"{path}/rows")
         spark = rows.sparkSession
-        meta = asdict(self.parameters) | {"rows": spark.read.parquet(f"{path}/rows").count()}
+        if self.graph is not None:
+            self.graph.save(f"{path}/graph")
+        meta = asdict(self.parameters) | {"rows": spark.read.parquet(f"{path}/rows").count(), "graph": self.graph is not None}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/parameters")
 
     @classmethod
@@ -254,12 +297,12 @@ class VectorTable:
         try:
             meta = json.loads(spark.read.text(f"{path}/parameters").first()["value"])
             rows = spark.read.parquet(f"{path}/rows")
-        except Exception as e:
+        except (AnalysisException, TypeError, ValueError) as e:
             raise TableError(f"no table can be opened at {path}") from e
-        n = meta.pop("rows", None)
+        n, graph = meta.pop("rows", None), meta.pop("graph", False)
         if meta.get("version") != FORMAT or rows.count() != n or not {"vec_id", "embedding", "deleted"} <= {*rows.columns}:
-            raise TableError(f"the table at {path} is corrupted or unsupported")
-        out = cls(rows, Parameters(**meta), path)
+            raise TableError(f"{path} holds no whole table of format {FORMAT}")
+        out = cls(rows, Parameters(**meta), path, GraphIndex.load(spark, f"{path}/graph", meta["space"], meta["dim"]) if graph else None)
         return out if max_elements is None else out.resize(max(max_elements, n))
 
     @staticmethod

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import heapq
+import pickle
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.space import SPACES, normalize
 from nearfield.functions.storage import shared_folder
-from nearfield.functions.vectors import to_arrays
+from nearfield.functions.vectors import from_numpy, matrix, to_arrays
 from nearfield.operators import evaluate, exact
-from nearfield.operators.graph import GraphIndex
+from nearfield.operators.graph import GraphError, GraphIndex, Stop
 from nearfield.operators.ivf import CellIndex
 from nearfield.operators.objects import ObjectTable
 from nearfield.operators.table import VectorTable
@@ -171,10 +172,10 @@ def knn_filter_mod(spark, sf_dir):
     return exact.knn(b, query_set(b), K, where=F.col("vec_id") % 3 == 0)
 
 
-@registered(_top_sql(_pairs_sql(), where="vec_id IN (26, 39, 52, 65)"))
+@registered(_top_sql(_pairs_sql(), where="vec_id IN (11, 24, 58, 83)"))
 def knn_filter_set(spark, sf_dir):
     b = base(spark, sf_dir)
-    allowed = spark.createDataFrame([(26,), (39,), (52,), (65,)], "vec_id bigint")
+    allowed = spark.createDataFrame([(11,), (24,), (58,), (83,)], "vec_id bigint")
     return exact.knn(b.join(F.broadcast(allowed), "vec_id", "left_semi"), query_set(b), K)
 
 
@@ -374,49 +375,182 @@ def ivf_all_cells(spark, sf_dir):
 
 @registered()
 def ivf_recall(spark, sf_dir):
+    """Recall by the share of rows that a query looks at."""
     b = base(spark, sf_dir)
-    found = CellIndex.build(b, 16).knn(query_set(b), K, 12)
-    return evaluate.mean_recall(found, knn_l2(spark, sf_dir), K)
+    q, index = query_set(b), CellIndex.build(b, 16)
+    truth, out = exact.knn(b, q, K), None
+    for nprobe in (2, 4, 8, 12):
+        row = evaluate.mean_recall(index.knn(q, K, nprobe), truth, K).select(F.lit(nprobe).alias("nprobe"), F.lit(index.share_read(q, nprobe)).alias("share_read"), "recall")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+#: A beam that is wider than any shard visits all that can be reached: every node, if the graph is whole.
+WIDE = 1 << 20
 
 
 def _graph(b: DataFrame, **options) -> GraphIndex:
-    return GraphIndex.build(b, shard_rows=1000, **options)
+    return GraphIndex.build(b, **({"shard_rows": 1000} | options))
 
 
-@registered()
+def _indexed(df: DataFrame, **options) -> VectorTable:
+    return _table(df, ef=WIDE, **options).index(shard_rows=1000)
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "vec_id", "dist", "rank")
+
+
+@registered("SELECT true AS reached")
 def graph_recall(spark, sf_dir):
+    """Recall of a narrow beam against exact search."""
     b = base(spark, sf_dir)
-    return evaluate.mean_recall(_graph(b).knn(query_set(b), K, 100), knn_l2(spark, sf_dir), K)
+    return evaluate.mean_recall(_graph(b).knn(query_set(b), K, 100), knn_l2(spark, sf_dir), K).select((F.col("recall") >= 0.95).alias("reached"))
 
 
-@registered()
+@registered("SELECT vec_id AS query_id, true AS walked FROM embeddings WHERE vec_id % 20 = 0")
+def graph_counters(spark, sf_dir):
+    """Hops and distances that a search took: no more distances than rows and steps down the layers allow."""
+    b = base(spark, sf_dir)
+    found = _graph(b).knn(query_set(b), K, 60)
+    fits = (F.min("hops") > 0) & (F.min("distances") >= K) & (F.max("distances") < b.count() + 10_000)
+    return found.groupBy("query_id").agg(fits.alias("walked"))
+
+
+@registered(KNN_L2)
 def graph_knn(spark, sf_dir):
-    """Neighbours with the hops and distances that they took."""
     b = base(spark, sf_dir)
-    return _graph(b).knn(query_set(b), K, 60)
+    return _ranked(_graph(b).knn(query_set(b), K, WIDE, on_short="partial"))
 
 
-@registered()
+@registered(_top_sql(_pairs_sql(), where="vec_id % 3 = 0"))
 def graph_filtered_knn(spark, sf_dir):
+    """Refused rows are walked through."""
     b = base(spark, sf_dir)
-    return _graph(b).knn(query_set(b), K, 60, where="vec_id % 3 = 0")
+    return _ranked(_graph(b).knn(query_set(b), K, WIDE, where="vec_id % 3 = 0", on_short="partial"))
 
 
-@registered()
+@registered(_top_sql(_pairs_sql(), where="vec_id % 97 = 0"))
+def graph_short_knn(spark, sf_dir):
+    """A narrow beam and a filter that leaves few rows: what comes up short is answered exactly."""
+    b = base(spark, sf_dir)
+    return _ranked(_graph(b).knn(query_set(b), K, K, where="vec_id % 97 = 0"))
+
+
+@registered("SELECT true AS raised")
+def graph_short_error(spark, sf_dir):
+    b = base(spark, sf_dir)
+    try:
+        _graph(b).knn(query_set(b), K, where="vec_id < 5", on_short="error")
+        raised = False
+    except exact.ShortResult:
+        raised = True
+    return spark.createDataFrame([(raised,)], "raised boolean")
+
+
+@registered(_top_sql(_pairs_sql(), 5, "dist <= 1.3"))
 def graph_radius(spark, sf_dir):
     b = base(spark, sf_dir)
-    return _graph(b).radius(query_set(b), 1.3, 100, 5)
+    return _ranked(_graph(b).radius(query_set(b), 1.3, WIDE, 5))
 
 
-@registered()
+@registered(_docs_sql(_pairs_sql(), 3))
 def graph_top_docs(spark, sf_dir):
+    """All documents are collected, so none can be missed."""
     b = base(spark, sf_dir)
-    return _graph(b).top_docs(query_set(b), 3, "label")
+    return _graph(b).top_docs(query_set(b), 3, "label", 1000)
 
 
-@registered()
+class NearestEver(Stop):
+    """A condition of one's own: nothing ends the walk, the ``K`` nearest are kept."""
+
+    def ends(self, dist: float, found: list) -> bool:
+        return False
+
+    def trim(self, found: list) -> None:
+        if len(found) > K:
+            heapq.heappop(found)
+
+
+@registered(KNN_L2)
+def graph_stop_condition(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return _ranked(_graph(b).search_until(query_set(b), NearestEver)).where(F.col("rank") <= K)
+
+
+@registered("SELECT 0 AS layer, count(*) AS nodes, CAST(0 AS BIGINT) AS self_links, CAST(0 AS BIGINT) AS unknown_links, CAST(0 AS BIGINT) AS repeated_links, CAST(0 AS BIGINT) AS unlinked FROM embeddings")
 def graph_integrity(spark, sf_dir):
-    return _graph(base(spark, sf_dir)).integrity()
+    """The lowest layer holds every row, and its links are sound."""
+    rows = _graph(base(spark, sf_dir)).integrity().where("layer = 0")
+    return rows.select("layer", "nodes", "self_links", "unknown_links", "repeated_links", "unlinked")
+
+
+@registered(_top_sql(_pairs_sql(), where="vec_id % 5 <> 0"))
+def graph_tombstone_knn(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return _indexed(b).delete(b.where("vec_id % 5 = 0")).knn(query_set(b), K)
+
+
+@registered(_top_sql(_pairs_sql(), where="vec_id % 5 <> 0 OR vec_id % 10 = 0"))
+def graph_undelete_knn(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return _indexed(b).delete(b.where("vec_id % 5 = 0")).undelete(b.where("vec_id % 10 = 0")).knn(query_set(b), K)
+
+
+@registered(_sql["upsert_knn"])
+def graph_upsert_knn(spark, sf_dir):
+    """New versions and new vectors, inserted into the graph by its construction beam."""
+    b = base(spark, sf_dir)
+    new = times(b.where("vec_id % 10 = 0"), -1).unionByName(times(b.where("vec_id % 20 = 0"), 0.5).withColumn("vec_id", F.col("vec_id") + 500000))
+    return _indexed(b).upsert(new).knn(query_set(b), K)
+
+
+@registered(_sql["replace_deleted_knn"])
+def graph_replace_knn(spark, sf_dir):
+    b = base(spark, sf_dir)
+    new = times(b.where("vec_id % 20 = 0"), 0.5).withColumn("vec_id", F.col("vec_id") + 500000)
+    return _indexed(b, allow_replace_deleted=True).delete(b.where("vec_id % 5 = 0")).replace_deleted(new).knn(query_set(b), K)
+
+
+@registered(_top_sql(_pairs_sql(), where="vec_id % 4 <> 0"))
+def graph_remove_knn(spark, sf_dir):
+    """Removed nodes leave the graph; their neighbours are linked anew."""
+    b = base(spark, sf_dir)
+    return _indexed(b).remove(b.where("vec_id % 4 = 0").select("vec_id")).knn(query_set(b), K)
+
+
+@registered(KNN_L2)
+def graph_grown_knn(spark, sf_dir):
+    """A graph that grew by insertions alone, from a hundredth of the rows."""
+    b = base(spark, sf_dir)
+    return _indexed(b.where("vec_id % 100 = 0")).upsert(b.where("vec_id % 100 <> 0").select("vec_id", "embedding", "label")).knn(query_set(b), K)
+
+
+@registered(KNN_L2)
+def graph_set_ef_knn(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return _table(b, ef=1).index(shard_rows=1000).set_ef(WIDE).knn(query_set(b), K)
+
+
+@registered(_top_sql(_pairs_sql(), where="vec_id % 5 <> 0"))
+def graph_save_load_knn(spark, sf_dir):
+    b, path = base(spark, sf_dir), shared_folder(spark, "indexed")
+    _indexed(b).delete(b.where("vec_id % 5 = 0")).save(path)
+    return VectorTable.load(spark, path).knn(query_set(b), K)
+
+
+@registered("SELECT true AS refused")
+def graph_load_checked(spark, sf_dir):
+    """A stored graph can't be opened as one of another space or dimension."""
+    path, refused = shared_folder(spark, "graph"), []
+    _graph(base(spark, sf_dir)).save(path)
+    for other in ({"space": "ip"}, {"dim": DIM + 1}):
+        try:
+            GraphIndex.load(spark, path, **other)
+            refused.append(False)
+        except GraphError:
+            refused.append(True)
+    return spark.createDataFrame([(all(refused),)], "refused boolean")
 
 
 # --- functions, SQL and streams -------------------------------------------
@@ -431,7 +565,7 @@ def normalize_vectors(spark, sf_dir):
 def pairwise_distance(spark, sf_dir):
     b = scaled(base(spark, sf_dir))
     q = query_set(b)
-    pair = b.select("vec_id", "embedding").crossJoin(F.broadcast(q))
+    pair = b.select("vec_id", "embedding").crossJoin(q)  # all pairs are the result; Spark broadcasts the queries if they are few
     return pair.select("query_id", "vec_id", *(SPACES[s].distance(F.col("qv"), F.col("embedding")).alias(s) for s in ("l2", "ip", "cosine")))
 
 
@@ -483,36 +617,79 @@ def planned_knn(spark, sf_dir):
     return nearest(b, query_set(b), K, where="label = 3")[0]
 
 
-def _local(spark: SparkSession, name: str) -> str:
-    """A folder that the driver writes files to itself; it must be mounted by all."""
-    path = shared_folder(spark, name).removeprefix("file:").replace("//", "/")
-    os.makedirs(path, exist_ok=True)
-    return path
-
-
 @registered(KNN_L2)
 def fbin_knn(spark, sf_dir):
-    """The base through an fbin file and back."""
-    b, path = base(spark, sf_dir), _local(spark, "fbin")
-    binary.write_fbin(b, f"{path}/base.fbin")
-    return exact.knn(binary.read_fbin(spark, f"{path}/base.fbin"), query_set(b), K)
+    """The base through fbin files and back."""
+    b, path = base(spark, sf_dir), shared_folder(spark, "fbin")
+    binary.write_fbin(b, path)
+    return exact.knn(binary.read_fbin(spark, path), query_set(b), K)
 
 
 @registered("SELECT vec_id, list_transform(embedding, lambda x: CAST(floor((x::DOUBLE + 1) * 127.5) AS SMALLINT)) AS embedding FROM embeddings")
 def bvecs_rows(spark, sf_dir):
-    """Bytes through a bvecs file and back."""
-    path = _local(spark, "bvecs")
-    binary.write_vecs(as_bytes(base(spark, sf_dir)), f"{path}/base.bvecs")
-    return binary.read_vecs(spark, f"{path}/base.bvecs", DIM)
+    """Bytes through bvecs files and back."""
+    path = shared_folder(spark, "bvecs")
+    binary.write_vecs(as_bytes(base(spark, sf_dir)), path)
+    return binary.read_vecs(spark, path, DIM)
+
+
+@registered("SELECT vec_id, embedding FROM embeddings")
+def raw_rows(spark, sf_dir):
+    """Values without any header, whose shape a config file tells."""
+    b, path = base(spark, sf_dir).select("vec_id", "embedding"), shared_folder(spark, "raw")
+    n = binary.write_raw(b, f"{path}/batch")
+    spark.createDataFrame([(f"{n} 1 0 {DIM} 10",)], "value string").coalesce(1).write.text(f"{path}/config")
+    shape = binary.read_config(spark, f"{path}/config")
+    return binary.read_raw(spark, f"{path}/batch", shape["dim"]).where(F.col("vec_id") < shape["rows"])
 
 
 @registered(f"SELECT query_id, rank, vec_id FROM ({KNN_L2})")
 def ivecs_truth(spark, sf_dir):
-    """True neighbours through an ivecs file and back."""
-    b, path = base(spark, sf_dir), _local(spark, "ivecs")
+    """True neighbours through ivecs files and back."""
+    b, path = base(spark, sf_dir), shared_folder(spark, "ivecs")
     found = to_arrays(knn_l2(spark, sf_dir)).select((F.col("query_id") / EACH).cast("long").alias("vec_id"), F.col("ids").alias("embedding"))
-    binary.write_vecs(found, f"{path}/truth.ivecs", "uint")
-    return binary.read_truth(spark, f"{path}/truth.ivecs", K).withColumn("query_id", F.col("query_id") * EACH)
+    binary.write_vecs(found, path, "uint")
+    return binary.read_truth(spark, path, K).withColumn("query_id", F.col("query_id") * EACH)
+
+
+@registered(KNN_L2)
+def numpy_knn(spark, sf_dir):
+    """Queries that come as a NumPy array with ids."""
+    b = base(spark, sf_dir)
+    q = query_set(b).toArrow()
+    return exact.knn(b, exact.as_queries(from_numpy(spark, matrix(q["qv"], DIM), q["query_id"].to_numpy())), K)
+
+
+@registered("SELECT vec_id, vec_id % 5 = 0 AS deleted FROM embeddings WHERE vec_id % 10 IN (0, 1)")
+def deleted_marks(spark, sf_dir):
+    b = base(spark, sf_dir)
+    return _table(b).delete(b.where("vec_id % 5 = 0")).is_deleted(b.where("vec_id % 10 < 2"))
+
+
+@registered("SELECT 'l2' AS space, 64 AS dim, count(*) AS element_count, count(*) FILTER (vec_id % 5 = 0) AS deleted_count, count(*) + 7 AS max_elements, 33 AS ef, 16 AS M FROM embeddings")
+def described_table(spark, sf_dir):
+    """Properties after a deletion, a larger capacity and another beam width."""
+    b = base(spark, sf_dir)
+    found = _table(b, max_elements=b.count()).delete(b.where("vec_id % 5 = 0")).resize(b.count() + 7).set_ef(33).describe()
+    return spark.createDataFrame([found]).select("space", F.col("dim").cast("int").alias("dim"), "element_count", "deleted_count", "max_elements", F.col("ef").cast("int").alias("ef"), F.col("M").cast("int").alias("M"))
+
+
+@registered("SELECT true AS stored, true AS pickled")
+def stored_size(spark, sf_dir):
+    """Bytes of a stored table, and a table that went through pickle."""
+    b, path = base(spark, sf_dir), shared_folder(spark, "table")
+    _table(b).save(path)
+    again = pickle.loads(pickle.dumps(VectorTable.load(spark, path)))
+    return spark.createDataFrame([(VectorTable.size_bytes(spark, path) > 4 * DIM * b.count() // 4, again.count() == b.count())], "stored boolean, pickled boolean")
+
+
+@registered("SELECT 4 AS batches, 100 AS vectors, true AS unit, true AS truth")
+def unit_batches(spark, sf_dir):
+    """Generated batches of vectors of length 1, with true neighbours in the last one."""
+    batches, q, truth = binary.unit_batches(spark, 100, 8, 4, 5, 3)
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
+    rows = batches[-1].agg(F.count("*").cast("int").alias("vectors"), (F.max(F.abs(length - 1)) < 1e-6).alias("unit"))
+    return rows.select(F.lit(len(batches)).alias("batches"), "vectors", "unit", F.lit(truth.count() == 15 and q.count() == 5).alias("truth"))
 
 
 @registered("SELECT vec_id AS query_id, len(embedding) AS dim, CAST(1 AS DOUBLE) AS recall, 1 AS hits FROM embeddings WHERE vec_id % 20 = 0")
@@ -523,11 +700,11 @@ def self_recall_by_query(spark, sf_dir):
     return evaluate.recall(exact.knn(b, q, 1), truth, 1).join(q.select("query_id", F.size("qv").alias("dim")), "query_id")
 
 
-@registered()
+@registered("SELECT * FROM (VALUES (10, true), (40, true), (160, true)) AS t(setting, reached)")
 def graph_ef_sweep(spark, sf_dir):
-    """Recall and time by beam width."""
-    b = base(spark, sf_dir)
-    path = shared_folder(spark, "graph")
+    """Recall by beam width: a tenth, half and nineteen of twenty at least."""
+    b, path = base(spark, sf_dir), shared_folder(spark, "graph")
     _graph(b).save(path)
     index, q = GraphIndex.load(spark, path, "l2", DIM), query_set(b)
-    return evaluate.sweep(lambda ef: index.knn(q, K, ef), exact.knn(b, q, K), K, [10, 40, 160])
+    rows = evaluate.sweep(lambda ef: index.knn(q, K, ef), exact.knn(b, q, K), K, [10, 40, 160])
+    return rows.select("setting", (F.col("recall") >= F.element_at(F.create_map(F.lit(10), F.lit(0.1), F.lit(40), F.lit(0.5), F.lit(160), F.lit(0.95)), F.col("setting"))).alias("reached"))

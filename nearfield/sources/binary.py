@@ -4,74 +4,121 @@
 * fvecs / bvecs / ivecs: each record is ``i32 dim`` and its values;
 * raw: values alone, the dimension is given.
 
-Record formats of one dimension are cut into splits by Hadoop's fixed-length
-reader, on any file system that Spark reads. The ``fbin`` data source cuts by row
-ranges after the header and opens the path on the workers, so the file must lie
-on a file system they all mount.
+A path is a file or a folder of part files in the order of their names, on any
+file system that Arrow opens (``file:``, ``hdfs:``, ``s3:``, ``gs:`` or a mounted
+path). Readers cut files into row ranges by their size, without reading them
+first; a row's number is its ``vec_id``. Writers write one part file for each
+partition, from the executors: a part appears under its name when it is whole, so
+a task that runs again replaces it.
 """
 
 from __future__ import annotations
 
-import math
-import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from nearfield.functions.vectors import matrix
+
 # NumPy types of the formats' values, and Spark types that hold them.
 KINDS = {"float": ("<f4", "array<float>"), "int": ("<i4", "array<int>"), "uint": ("<u4", "array<bigint>"), "byte": ("u1", "array<smallint>")}
 WIDE = {"<f4": np.float32, "<i4": np.int32, "<u4": np.int64, "u1": np.int16}
-HEADER = struct.Struct("<II")
-#: Bytes of a split of an fbin file.
-SPLIT = 64 << 20
-
+HEADER, HEADER_BYTES = "<II", 8
+#: Bytes of a split, rows of a batch.
+SPLIT, BATCH = 64 << 20, 8192
+LAYOUTS = ("fbin", "vecs", "raw")
 
-class Rows(InputPartition):
-    def __init__(self, first: int, count: int) -> None:
-        self.first, self.count = first, count
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path on it."""
+    path = path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
-class FbinReader(DataSourceReader):
-    def __init__(self, path: str, kind: str) -> None:
-        self.path, self.kind = path.removeprefix("file://"), kind
-        with open(self.path, "rb") as f:
-            head = f.read(HEADER.size)
-        if len(head) < HEADER.size:
-            raise ValueError(f"{path} has no header")
-        self.n, self.dim = HEADER.unpack(head)
-        if os.path.getsize(self.path) != HEADER.size + 4 * self.n * self.dim:
-            raise ValueError(f"{path} isn't as long as its header says")
 
-    def partitions(self) -> list[Rows]:
-        each = max(1, SPLIT // max(1, 4 * self.dim))
-        return [Rows(i, min(each, self.n - i)) for i in range(0, self.n, each)] or [Rows(0, 0)]
+def _files(path: str) -> list[tuple[str, int]]:
+    """The files of a path with their sizes, in the order of their names."""
+    system, at = opened(path)
+    info = system.get_file_info(at)
+    if info.type == fs.FileType.File:
+        return [(path, info.size)]
+    if info.type != fs.FileType.Directory:
+        raise FileNotFoundError(path)
+    names = sorted(x.base_name for x in system.get_file_info(fs.FileSelector(at)) if x.type == fs.FileType.File and x.base_name.startswith("part-"))
+    return [(f"{path.rstrip('/')}/{n}", system.get_file_info(f"{at.rstrip('/')}/{n}").size) for n in names]
 
-    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
-        with open(self.path, "rb") as f:
-            f.seek(HEADER.size + 4 * self.dim * partition.first)
-            for at in range(0, partition.count, 8192):
-                n = min(8192, partition.count - at)
-                values = np.frombuffer(f.read(4 * n * self.dim), KINDS[self.kind][0])
-                yield vectors(np.arange(partition.first + at, partition.first + at + n), values, self.dim)
 
+class Rows(InputPartition):
+    """Rows ``first`` to ``first + count`` of all, which start at byte ``at`` of a file."""
+
+    def __init__(self, path: str, at: int, first: int, count: int, dim: int) -> None:
+        self.path, self.at, self.first, self.count, self.dim = path, at, first, count, dim
+
+
+class VectorReader(DataSourceReader):
+    def __init__(self, path: str, layout: str, kind: str, dim: int | None) -> None:
+        if layout not in LAYOUTS or layout != "fbin" and not dim:
+            raise ValueError(f"the layout is one of {', '.join(LAYOUTS)}; vecs and raw need a dimension")
+        self.layout, self.numbers, self.rows = layout, KINDS[kind][0], []
+        width, prefix, first = np.dtype(self.numbers).itemsize, 4 if layout == "vecs" else 0, 0
+        for name, size in _files(path):
+            begin, n = 0, None
+            if layout == "fbin":
+                system, at = opened(name)
+                with system.open_input_file(at) as f:
+                    head = f.read(HEADER_BYTES)
+                if len(head) < HEADER_BYTES:
+                    raise ValueError(f"{name} has no header")
+                (n, dim), begin = struct.unpack(HEADER, head), HEADER_BYTES
+            stride = width * dim + prefix
+            if n is None:
+                n = size // stride if stride else 0
+            if size != begin + n * stride:
+                raise ValueError(f"{name} isn't as long as rows of {dim} values make it")
+            each = max(1, SPLIT // max(1, stride))
+            self.rows += [Rows(name, begin + i * stride, first + i, min(each, n - i), dim) for i in range(0, n, each)]
+            first += n
+        self.prefix = prefix
 
-class FbinSource(DataSource):
-    """``spark.read.format('fbin').option('kind', 'float').load(path)`` gives (vec_id, embedding)."""
+    def partitions(self) -> list[Rows]:
+        return self.rows or [Rows("", 0, 0, 0, 0)]
+
+    def read(self, p: Rows) -> Iterator[pa.RecordBatch]:
+        if not p.count:
+            return
+        system, at = opened(p.path)
+        stride = np.dtype(self.numbers).itemsize * p.dim + self.prefix
+        with system.open_input_file(at) as f:
+            f.seek(p.at)
+            for done in range(0, p.count, BATCH):
+                n = min(BATCH, p.count - done)
+                raw = np.frombuffer(f.read(n * stride), np.uint8).reshape(n, stride)
+                if self.prefix and (np.ascontiguousarray(raw[:, :4]).view("<i4") != p.dim).any():
+                    raise ValueError(f"{p.path}: a record hasn't {p.dim} values")
+                values = np.ascontiguousarray(raw[:, self.prefix :]).reshape(-1).view(self.numbers)
+                yield vectors(np.arange(p.first + done, p.first + done + n), values, p.dim)
+
+
+class VectorSource(DataSource):
+    """``spark.read.format('vectors').option('layout', 'fbin').option('kind', 'float').load(path)`` gives (vec_id, embedding)."""
 
     @classmethod
     def name(cls) -> str:
-        return "fbin"
+        return "vectors"
 
     def schema(self) -> str:
         return f"vec_id bigint, embedding {KINDS[self.options.get('kind', 'float')][1]}"
 
-    def reader(self, schema) -> FbinReader:
-        return FbinReader(self.options["path"], self.options.get("kind", "float"))
+    def reader(self, schema) -> VectorReader:
+        dim = self.options.get("dim")
+        return VectorReader(self.options["path"], self.options.get("layout", "fbin"), self.options.get("kind", "float"), int(dim) if dim else None)
 
 
 def vectors(ids: np.ndarray, values: np.ndarray, dim: int) -> pa.RecordBatch:
@@ -81,26 +128,15 @@ def vectors(ids: np.ndarray, values: np.ndarray, dim: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["vec_id", "embedding"])
 
 
-def read_fbin(spark: SparkSession, path: str, kind: str = "float") -> DataFrame:
-    """(vec_id, embedding) of an fbin file of ``kind`` float, int or uint; ``vec_id`` is the row number."""
-    spark.dataSource.register(FbinSource)
-    return spark.read.format("fbin").option("kind", kind).load(path)
-
+def _read(spark: SparkSession, path: str, layout: str, kind: str, dim: int | None = None) -> DataFrame:
+    spark.dataSource.register(VectorSource)
+    reader = spark.read.format("vectors").option("layout", layout).option("kind", kind)
+    return (reader.option("dim", dim) if dim else reader).load(path)
 
-def _records(spark: SparkSession, path: str, dim: int, kind: str, prefixed: bool) -> DataFrame:
-    numbers, ddl = KINDS[kind]
-    size = np.dtype(numbers).itemsize * dim + 4 * prefixed
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = np.frombuffer(b"".join(b.column("record").to_pylist()), np.uint8).reshape(b.num_rows, size)
-            if prefixed and b.num_rows and (np.ascontiguousarray(raw[:, :4]).view("<i4") != dim).any():
-                raise ValueError(f"{path}: a record hasn't {dim} values")
-            yield vectors(b.column("vec_id").to_numpy(), np.ascontiguousarray(raw[:, 4 * prefixed :]).reshape(-1).view(numbers), dim)
-
-    # zipWithIndex counts the records of each split once to number them through
-    numbered = spark.sparkContext.binaryRecords(path, size).zipWithIndex().map(lambda x: (x[1], bytearray(x[0])))
-    return spark.createDataFrame(numbered, "vec_id bigint, record binary").mapInArrow(decode, f"vec_id bigint, embedding {ddl}")
+def read_fbin(spark: SparkSession, path: str, kind: str = "float") -> DataFrame:
+    """(vec_id, embedding) of an fbin file of ``kind`` float, int or uint; ``vec_id`` is the row number."""
+    return _read(spark, path, "fbin", kind)
 
 
 def read_vecs(spark: SparkSession, path: str, dim: int, kind: str = "byte") -> DataFrame:
@@ -108,12 +144,12 @@ def read_vecs(spark: SparkSession, path: str, dim: int, kind: str = "byte") -> D
 
     A record of another dimension raises. Unsigned bytes come as smallint, as Spark has no unsigned type.
     """
-    return _records(spark, path, dim, kind, True)
+    return _read(spark, path, "vecs", kind, dim)
 
 
 def read_raw(spark: SparkSession, path: str, dim: int, kind: str = "float") -> DataFrame:
     """(vec_id, embedding) of a dump of values without any header."""
-    return _records(spark, path, dim, kind, False)
+    return _read(spark, path, "raw", kind, dim)
 
 
 def read_truth(spark: SparkSession, path: str, k: int, kind: str = "uint") -> DataFrame:
@@ -130,21 +166,52 @@ def read_config(spark: SparkSession, path: str) -> dict[str, int]:
     return dict(zip(("rows", "batches", "queries", "dim", "k"), map(int, text[:5]), strict=True))
 
 
-def write_fbin(df: DataFrame, path: str, kind: str = "float") -> None:
-    """An fbin file of the rows in the order of ``vec_id``, written from the driver row by row: for fixtures and exports."""
-    first = df.select(F.size("embedding")).first()
-    n, dim = df.count(), first[0] if first else 0
-    with open(path, "wb") as f:
-        f.write(HEADER.pack(n, dim))
-        for r in df.orderBy("vec_id").select("embedding").toLocalIterator():
-            f.write(np.array(r[0], KINDS[kind][0]).tobytes())
+def _write(df: DataFrame, path: str, layout: str, kind: str, dim: int | None) -> int:
+    """Rows in the order of ``vec_id``, as part files; how many were written."""
+    if dim is None:
+        first = df.select(F.size("embedding")).first()
+        dim = first[0] if first else 0
+    numbers = KINDS[kind][0]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = []
+        for b in batches:
+            if b.num_rows:
+                rows = matrix(b.column("embedding"), dim).astype(numbers)
+                if layout == "vecs":
+                    rows = np.hstack([np.full((len(rows), 1), dim, "<i4").view(np.uint8).reshape(len(rows), 4), rows.view(np.uint8).reshape(len(rows), -1)])
+                blocks.append(rows)
+        n = sum(map(len, blocks))
+        if n:
+            system, at = opened(path)
+            system.create_dir(at)
+            name = f"{at.rstrip('/')}/part-{TaskContext.get().partitionId():06d}"
+            unfinished = f"{at.rstrip('/')}/.{uuid.uuid4()}"
+            with system.open_output_stream(unfinished) as f:
+                if layout == "fbin":
+                    f.write(struct.pack(HEADER, n, dim))
+                for rows in blocks:
+                    f.write(np.ascontiguousarray(rows).tobytes())
+            system.move(unfinished, name)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    ordered = df.repartitionByRange("vec_id").sortWithinPartitions("vec_id").select("embedding")
+    return sum(r["n"] for r in ordered.mapInArrow(write, "n bigint").collect())
+
+
+def write_fbin(df: DataFrame, path: str, kind: str = "float", dim: int | None = None) -> int:
+    """A folder of fbin files with the rows in the order of ``vec_id``; their number. One partition is held at a time."""
+    return _write(df, path, "fbin", kind, dim)
 
 
-def write_vecs(df: DataFrame, path: str, kind: str = "byte") -> None:
-    """A file of records with their dimension first, in the order of ``vec_id``."""
-    with open(path, "wb") as f:
-        for r in df.orderBy("vec_id").select("embedding").toLocalIterator():
-            f.write(struct.pack("<i", len(r[0])) + np.array(r[0], KINDS[kind][0]).tobytes())
+def write_vecs(df: DataFrame, path: str, kind: str = "byte", dim: int | None = None) -> int:
+    """A folder of files of records with their dimension first, in the order of ``vec_id``; their number."""
+    return _write(df, path, "vecs", kind, dim)
+
+
+def write_raw(df: DataFrame, path: str, kind: str = "float", dim: int | None = None) -> int:
+    """A folder of dumps of values, in the order of ``vec_id``; the number of rows."""
+    return _write(df, path, "raw", kind, dim)
 
 
 def uniform(spark: SparkSession, n: int, dim: int, seed: int = 47) -> DataFrame:
@@ -153,6 +220,15 @@ def uniform(spark: SparkSession, n: int, dim: int, seed: int = 47) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(dim)), at).alias("embedding"))
 
 
-def partitions_for(rows: int, dim: int) -> int:
-    """Partitions of about 64 MB for so many vectors of doubles."""
-    return max(1, math.ceil(rows * dim * 8 / SPLIT))
+def unit_batches(spark: SparkSession, rows: int, dim: int, batches: int, queries: int, k: int, seed: int = 1) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Batches of vectors of length 1 with keys 0, 1, ... in each, queries, and the queries' true neighbours in the last batch by inner product.
+
+    Every batch gives the same keys new vectors, as updates do.
+    """
+    from nearfield.functions.space import normalize
+    from nearfield.operators import exact
+
+    unit = lambda n, k: uniform(spark, n, dim, seed * 1000 + k).withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") - 0.5)).withColumn("embedding", normalize(F.col("embedding")).cast("array<float>"))
+    made = [unit(rows, k) for k in range(batches)]
+    q = exact.as_queries(unit(queries, batches))
+    return made, q, exact.knn(made[-1], q, k, "ip")
