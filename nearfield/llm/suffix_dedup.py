@@ -33,15 +33,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import checkpointed, join_by_class, shared_path, slices, strings
+from nearfield.llm.common import HOT_LEAST, HOT_SHARE, checkpointed, join_by_class, shared_path, slices, strings
 from nearfield.llm.shingles import mix
 
 LENGTH, GRAM = 200, 32
 #: Bytes that are hashed at a time, bytes of contents that are ranked at a time.
-BLOCK, RANKED = 1 << 20, 2 << 20
+BLOCK, RANKED = 1 << 20, 1 << 20
 #: Contents of one anchor beyond which its strings are counted by hash.
 HOT = 20_000
 _LOW = np.uint64((1 << 24) - 1)
@@ -356,19 +356,17 @@ def _found(source: DataFrame, packed_docs: DataFrame, length: int, gram: int, ke
     single = every.where(F.col("kind") != SPAN)
     # most anchors occur once and go no further
     anchors = single.groupBy("fp").agg(F.count("*").alias("copies"), F.max("kind").alias("most")).where((F.col("copies") > 1) | (F.col("most") == FIRST))
-    rows = checkpointed(join_by_class(single, anchors.drop("most"), "fp").where("copies is not null").drop("copies"))
-    contents = rows.groupBy("fp", "content").agg(F.count("*").alias("n"), F.max("kind").alias("most"), F.min(F.struct("id", "hash", "start", "size")).alias("first"))
-    contents = checkpointed(contents)
-    again = contents.where((F.col("n") > 1) | (F.col("most") == FIRST)).groupBy("content").agg(F.sum("n").alias("copies"), F.min("first").alias("first"))
-    whole = join_by_class(rows, again, "content").where("copies is not null")
-    if keep_first:  # rows that repeat the first one's key and text repeat it
-        same = rows.groupBy("content", "id", "hash", "start", "size").count().where("count > 1").select("content", F.struct("id", "hash", "start", "size").alias("first"))
-        whole = whole.where(F.struct("id", "hash", "start", "size") != F.col("first")).drop("first")
-        whole = whole.unionByName(again.join(same, ["content", "first"]).select("first.*").select(*(c if c in ("id", "hash", "start", "size") else F.lit(None).cast(whole.schema[c].dataType).alias(c) for c in whole.columns)))
-    whole = whole.select("id", "hash", "start", (F.col("start") + F.col("size") - 1 + length).alias("end")).unionByName(spans)
-    several = contents.groupBy("fp").agg(F.count("*").alias("contents"), F.count("*").alias("copies")).where("contents > 1")
-    cands = join_by_class(contents.select("fp", "first.*"), several, "fp").where("contents is not null").withColumn("hot", F.col("contents") > hot)
-    cands = checkpointed(cands.select("id", "hash", "fp", "start", "size", "hot"))
+    anchors = checkpointed(anchors.select("fp", "copies"))
+    most = max(HOT_LEAST, (anchors.agg(F.sum("copies")).first()[0] or 0) * HOT_SHARE)
+    common = anchors.where(F.col("copies") > most)
+    if keep_first or common.isEmpty():  # which copy is the first takes an order of all of them
+        rows = _told_apart(single.join(anchors.select("fp"), "fp"))
+    else:
+        rare = single.join(F.broadcast(common.select("fp")), "fp", "left_anti").join(anchors.where(F.col("copies") <= most).select("fp"), "fp")
+        rows = _told_apart(rare).unionByName(_told_apart_in_place(single.join(F.broadcast(common.select("fp")), "fp")))
+    rows = checkpointed(rows)
+    whole = rows.where("nth > 1" if keep_first else "again").select("id", "hash", "start", (F.col("start") + F.col("size") - 1 + length).alias("end")).unionByName(spans)
+    cands = rows.where("contents > 1 and nth = 1").select("id", "hash", "fp", "start", "size", (F.col("contents") > hot).alias("hot"))
     bytes_of = _contents(cands, packed_docs, length)
     if cands.where("hot").isEmpty():
         return whole.unionByName(_partial_spans(bytes_of, length, keep_first))
@@ -376,6 +374,25 @@ def _found(source: DataFrame, packed_docs: DataFrame, length: int, gram: int, ke
     return whole.unionByName(_partial_spans(bytes_of.where("not hot"), length, keep_first)).unionByName(_hot_spans(bytes_of.where("hot"), length, keep_first))
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """(id, hash, fp, start, size, again, nth, contents) of runs: whether their content repeats, the how many-th of it they are, and how many contents their anchor has."""
+    of_anchor, of_content = Window.partitionBy("fp"), Window.partitionBy("fp", "content")
+    rows = rows.withColumn("again", (F.count("*").over(of_content) > 1) | (F.max("kind").over(of_content) == FIRST))
+    rows = rows.withColumn("nth", F.row_number().over(of_content.orderBy("id", "hash", "start")))
+    return rows.withColumn("contents", F.sum((F.col("nth") == 1).cast("long")).over(of_anchor)).select("id", "hash", "fp", "start", "size", "again", "nth", "contents")
+
+
+def _told_apart_in_place(rows: DataFrame) -> DataFrame:
+    """The same for the runs of anchors with a large share of all runs, which stay where they are; ``nth`` is 1 for the first and 2 for others."""
+    place = F.struct("id", "hash", "start")
+    contents = rows.groupBy("fp", "content").agg(F.count("*").alias("copies"), F.max("kind").alias("most"), F.min(place).alias("first"))
+    contents = checkpointed(contents)
+    several = F.broadcast(contents.groupBy("fp").agg(F.count("*").alias("contents")))  # no more rows than there are such anchors
+    told = join_by_class(rows.select("id", "hash", "fp", "start", "size", "content"), contents.drop("fp"), "content").join(several, "fp")
+    again = (F.col("copies") > 1) | (F.col("most") == FIRST)
+    return told.select("id", "hash", "fp", "start", "size", again.alias("again"), F.when(place == F.col("first"), 1).otherwise(2).alias("nth"), "contents")
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -420,6 +437,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row, as ``remove_repeats`` decides; null texts have no bytes, an empty table gives no rows."""
     rows = remove_repeats(docs, kept_bytes=False)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

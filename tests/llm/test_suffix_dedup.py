@@ -43,6 +43,7 @@ def corpus(seed, n=60):
 def test_equals_brute_force(spark, monkeypatch, length, gram, hot, first):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 150)
     monkeypatch.setattr(suffix_dedup, "RANKED", 900)
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 500 if hot > 3 else 2)
     texts = corpus(length + hot)
     rows = [(i, t, 1, "x") for i, t in enumerate(texts)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, hash int, start string")
