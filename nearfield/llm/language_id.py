@@ -104,19 +104,21 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
     The sample is the bounded one that a classifier may be fitted on: a hash of
     the key, compared with the count of the language, picks it without ranking
-    all rows, and n-gram counts are summed before they are shuffled. Rows of a
-    null key hash alike. What is broadcast has a row a language, or ``documents``.
-    Rows without language or text teach nothing. The result has one short list
+    all rows, and n-gram counts are summed before they are shuffled. Rows without
+    key are told apart by their text; rows that repeat a key are taken or left
+    together. What is broadcast has a row a language, or ``documents``. Rows
+    without language or text teach nothing. The result has one short list
     for each language.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = rows.groupBy(lang).agg(F.count("*").alias("_rows"))
     # a hash between 0 and 1 lets about a fifth more than needed of each language through; these few are ranked
-    place = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    few = rows.select(lang, key, place.alias("_place")).join(F.broadcast(counts), lang).where(F.col("_place") * F.col("_rows") <= 1.2 * documents + 50)
+    rows = rows.withColumn("_own", F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key)))
+    place = F.pmod("_own", F.lit(1 << 40)) / F.lit(float(1 << 40))
+    few = rows.select(lang, key, "_own", place.alias("_place")).join(F.broadcast(counts), lang).where(F.col("_place") * F.col("_rows") <= 1.2 * documents + 50)
     order = Window.partitionBy(lang).orderBy("_place", key)
-    chosen = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= documents).select(lang, key).distinct()
-    sample = rows.select(lang, key, text).join(F.broadcast(chosen), (rows[lang] == chosen[lang]) & rows[key].eqNullSafe(chosen[key]), "left_semi")
+    chosen = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= documents).select(lang, key, "_own").distinct()
+    sample = rows.select(lang, key, "_own", text).join(F.broadcast(chosen), (rows[lang] == chosen[lang]) & (rows["_own"] == chosen["_own"]) & rows[key].eqNullSafe(chosen[key]), "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,41 +21,50 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, class and component of every document by five-word shingles; null texts link with nothing, an empty table gives no rows."""
     return ngram_forest.jaccard_join(table(spark, sf_dir, "documents"))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector; unusable vectors link with nothing, an empty table gives no rows."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is removed of every document's bytes; null texts are empty, rows that repeat key and text repeat each other."""
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those not held out; null texts are ``und``."""
     return language_id.predict_held_out(table(spark, sf_dir, "documents"))
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that says control strings, formatted and read back; null texts are empty."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", CONTROL_SAYING), (-1, 1, "assistant", CONTROL_SAYING)], "conv_id bigint, turn bigint, role string, text string")
     return chat_format.read_back(chat_format.format_conversations(turns.unionByName(more)))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and the longest prefix within 4096; null texts are empty."""
     return token_counts.report(table(spark, sf_dir, "documents"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document with begin and end, and what they decode to; null texts are empty."""
     coded = piece_codec.encode_decode(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows of benchmark items; null texts and items have no words."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; null texts have none."""
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 

@@ -79,7 +79,11 @@ def find_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", scope:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: counts of base kinds, the digest of base spans and all spans."""
+    """Per row of ``docs``: counts of base kinds, the digest of base spans and all spans.
+
+    Null texts are empty and have none; repeated rows and rows without ``doc_id``
+    are reported each, an empty table gives no rows, other columns are ignored.
+    """
     listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["kind"].isin([k for k, *_ in BASE]))
@@ -90,7 +94,8 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", mask: str = MASK) -> DataFrame:
     """``docs`` with every span of ``find_spans`` replaced by ``mask``; spans that touch or overlap become one mask.
 
-    Only rows with spans are joined, by key and hash of the text; the columns stay as they are.
+    Only rows with spans are joined, by key and hash of the text; the columns stay
+    as they are. Null texts stay null; repeated rows are masked alike and all stay.
     """
     spans = find_spans(docs, text, key).where(F.size("spans") > 0).select(F.col(key).alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
     found = spans["_spans"]
