@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import HOT_LEAST, HOT_SHARE, checkpointed, join_by_class, shared_path, slices, strings
+from nearfield.llm.common import HOT_LEAST, HOT_SHARE, checkpointed, join_by_class, slices, strings, written
 from nearfield.llm.shingles import mix
 
 LENGTH, GRAM = 200, 32
@@ -348,15 +348,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
 
 
 def _found(source: DataFrame, packed_docs: DataFrame, length: int, gram: int, keep_first: bool, hot: int) -> DataFrame:
-    spark = source.sparkSession
-    path = shared_path(spark, "runs")
-    runs(source, length, gram).write.parquet(path)
-    every = spark.read.parquet(path)
+    every = written(runs(source, length, gram), "runs")
     spans = every.where(F.col("kind") == SPAN).select("id", "hash", "start", (F.col("start") + F.col("size")).alias("end"))
     single = every.where(F.col("kind") != SPAN)
     # most anchors occur once and go no further
     anchors = single.groupBy("fp").agg(F.count("*").alias("copies"), F.max("kind").alias("most")).where((F.col("copies") > 1) | (F.col("most") == FIRST))
-    anchors = checkpointed(anchors.select("fp", "copies"))
+    anchors = written(anchors.select("fp", "copies"), "anchors")
     most = max(HOT_LEAST, (anchors.agg(F.sum("copies")).first()[0] or 0) * HOT_SHARE)
     common = anchors.where(F.col("copies") > most)
     if keep_first or common.isEmpty():  # which copy is the first takes an order of all of them
@@ -364,7 +361,7 @@ def _found(source: DataFrame, packed_docs: DataFrame, length: int, gram: int, ke
     else:
         rare = single.join(F.broadcast(common.select("fp")), "fp", "left_anti").join(anchors.where(F.col("copies") <= most).select("fp"), "fp")
         rows = _told_apart(rare).unionByName(_told_apart_in_place(single.join(F.broadcast(common.select("fp")), "fp")))
-    rows = checkpointed(rows)
+    rows = written(rows, "told")
     whole = rows.where("nth > 1" if keep_first else "again").select("id", "hash", "start", (F.col("start") + F.col("size") - 1 + length).alias("end")).unionByName(spans)
     cands = rows.where("contents > 1 and nth = 1").select("id", "hash", "fp", "start", "size", (F.col("contents") > hot).alias("hot"))
     bytes_of = _contents(cands, packed_docs, length)
