@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import slices, strings
-from nearfield.llm.piece_codec import ChunkTable, marked_chunks, model_path
+from nearfield.llm.piece_codec import MARK, ChunkTable, marked_chunks, model_path
 
 #: Chunks whose differences are summed at a time; pairs of pieces that are remembered.
 BLOCK, PAIRS = 1 << 16, 1 << 20
+#: Distinct chunks whose differences a worker holds; pieces by which a model is probed.
+COUNTED, PROBED = 500_000, 500
 #: Characters of a chunk's head, and heads whose solution is remembered.
 HEAD, HEADS = 6, 1 << 15
 _NEVER = float("-inf")
@@ -150,19 +154,26 @@ class Merges:
 
 
 class CountTable(ChunkTable):
-    """Entries: by how many tokens each character of a chunk changes the count, as 32-bit integers."""
+    """Entries: by how many tokens each character of a chunk changes the count, as 32-bit integers.
 
-    def __init__(self, path: str, **options) -> None:
-        super().__init__(path, **options)
+    The recurrence is held to the library once, on pieces from all over the model,
+    and on pairs of them: ``ValueError`` if the model doesn't merge by score.
+    """
+
+    def __init__(self, path: str, size: int = COUNTED) -> None:
+        super().__init__(path, size)
         self.merges = Merges(self.sp)
+        pieces = [p for p in self.merges.ids if MARK not in p][:: max(1, len(self.merges.ids) // PROBED)]
+        probes = [MARK + p + q for p, q in zip(pieces, pieces[1:] + pieces[:1], strict=True)]
+        if [(n or [-1])[-1] for n in map(self.merges.prefixes, probes)] != list(map(len, self.ids(probes))):
+            raise ValueError(f"{path}: the model doesn't merge by score")
 
     def segmented(self, chunks: list[str]) -> list[bytes]:
         out = []
-        for chunk, ids in zip(chunks, self.ids(chunks), strict=True):
-            n = self.merges.prefixes(chunk)
-            if n is None or n[-1] != len(ids):  # the recurrence is held to the library
-                raise RuntimeError(f"the model doesn't merge by score: {len(ids)} tokens, not {n and n[-1]}, in a chunk of {len(chunk)} characters")
-            out.append(array("i", [b - a for a, b in zip(n, n[1:], strict=False)]).tobytes())
+        for n in map(self.merges.prefixes, chunks):
+            if n is None:
+                raise ValueError("a chunk has no encoding")
+            out.append(array("i", map(sub, n[1:], n)).tobytes())
         return out
 
     def prefixes(self, text: str) -> PrefixCounts:
@@ -200,6 +211,12 @@ class PrefixCounts:
         return len(self.counts) - 1 if self.total <= budget else int(np.flatnonzero(self.counts <= max(budget, 0))[-1])
 
 
+@lru_cache(1)
+def _counter(path: str) -> CountTable:
+    """A worker's table, which its next task goes on with."""
+    return CountTable(path)
+
+
 def count_tokens(docs: DataFrame, text: str = "text", budget: int | None = None, model: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all by default) with ``n_tokens`` (long) and, if ``budget`` is given, ``fit_chars`` (long).
 
@@ -215,7 +232,7 @@ def count_tokens(docs: DataFrame, text: str = "text", budget: int | None = None,
     schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} bigint" for c in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = CountTable(path)
+        counter = _counter(path)
         for batch in slices(batches, text):
             total, fit = [], []
             for x in strings(batch.column(text)):

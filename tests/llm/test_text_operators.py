@@ -54,8 +54,7 @@ def test_prefix_counts_of_long_chunks_are_linear(sp, monkeypatch):
 
     r = random.Random(2)
     counter, took, encoded = token_counts.CountTable(piece_codec.model_path()), [], []
-    ids = counter.ids
-    monkeypatch.setattr(counter, "ids", lambda chunks: encoded.extend(map(len, chunks)) or ids(chunks))
+    monkeypatch.setattr(counter, "ids", encoded.extend)
     for n in (250_000, 1_000_000):
         t = "".join(r.choice("abcdeinorst") for _ in range(n))
         begun = time.perf_counter()
@@ -65,7 +64,7 @@ def test_prefix_counts_of_long_chunks_are_linear(sp, monkeypatch):
             assert p.at(i) == len(sp.encode(t[:i]))
         fit = p.fit(2000)
         assert p.at(fit) <= 2000 and (p.counts[fit + 1 :] > 2000).all()
-    assert encoded == [250_001, 1_000_001]  # each chunk once, and no part of it
+    assert not encoded  # nothing is encoded
     assert took[1] < 10 * took[0]
 
 
@@ -134,6 +133,38 @@ def test_ngrams_equal_plain_version(block, monkeypatch):
         assert got == dict(want)
 
 
+def test_predictions_equal_out_of_place_distances(spark):
+    """Profiles, distances and scores by plain counting and lists."""
+    r = random.Random(11)
+    letters = {"aa": "abcdefg ", "bb": "defghij  ", "cc": "éñabü "}
+    say = lambda lang, n: "".join(r.choice(letters[lang]) for _ in range(n))
+    rows = [(i, say(lang, 200), lang) for i in range(30) for lang in (r.choice(sorted(letters)),)]
+    code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    first = lambda counts, n: sorted(counts, key=lambda g: (-counts[g], code(g)))[:n]
+    profiles = {lang: first(sum((plain_ngrams(t) for _, t, x in rows if x == lang), Counter()), language_id.PROFILE_SIZE) for lang in letters}
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = language_id.learn(frame)
+    assert learned == {lang: [code(g) for g in p] for lang, p in profiles.items()}
+    texts = [*(say(r.choice(sorted(letters)), r.randrange(1, 90)) for _ in range(60)), "", "12 3", None, "zzz"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for row in language_id.identify(asked, learned).collect():
+        own = first(plain_ngrams(row.text or ""), language_id.DOCUMENT_SIZE)
+        if not own:
+            assert (row.lang_pred, row.score) == ("und", 0.0)
+            continue
+        far = max(language_id.PROFILE_SIZE, *map(len, profiles.values()))
+        distance = {lang: sum(abs(p.index(g) - k) if g in p else far for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(distance), key=distance.get)
+        assert row.lang_pred == best and row.score == pytest.approx(max(0.0, 1 - distance[best] / (far * len(own))))
+
+
+def test_rows_without_key_are_sampled_by_text(spark):
+    rows = [(None, f"{'xyz'[i % 3]}ab {i}", "aa") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    few, every = language_id.learn(frame, documents=20), language_id.learn(frame)
+    assert few != every and len(few["aa"]) <= len(every["aa"])
+
+
 def test_language_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
@@ -180,6 +211,21 @@ def test_chat_read_back(spark, sf):
         assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(said), sha(said))
 
 
+def test_chat_formatted_text_equals_plain_writing(spark):
+    rows = [(c, t, role, text) for c in range(3) for t, (role, text) in enumerate([("user", "hi\nthere"), ("assistant", "yes"), ("system", ""), ("assistant", "a b")])]
+    got = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    plain, spans = "", []
+    for _, _, role, text in rows[:4]:
+        plain += f"<|im_start|>{role}\n"
+        if role == "assistant":
+            spans.append((len(plain), len(plain) + len(text)))
+        plain += f"{text}<|im_end|>\n"
+    assert sorted((x.conv_id, x.part, x.formatted) for x in got) == [(c, 0, plain) for c in range(3)]
+    assert all([(s.start, s.end) for s in x.loss] == spans for x in got)
+    back = chat_format.read_back(chat_format.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).collect()
+    assert all(x.formatted_chars == len(plain) for x in back)
+
+
 def test_chat_odd_tables(spark):
     rows = [(None, None, None, None), (1, 1, "assistant", "x<|"), (1, 1, "assistant", "x<|"), (1, None, "us\ner", "y\\"), (2, 0, "assistant", "z" * 3000), (2, 1, "assistant", "w")]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").selectExpr("*", "1 as formatted", "2 as part")
