@@ -55,3 +55,10 @@ def test_exact_queries_look_into_all_cells(spark, sf):
     assert result(few) == result(exact.knn(b, q, 3, where="vec_id % 40 = 7"))
     columns = ["query_id", "vec_id", "label", "dist", "rank"]
     assert result(index.top_docs(q, 3, "label", 1000).select(columns)) == result(exact.top_docs(b, q, 3, "label").select(columns))
+
+
+@pytest.mark.parametrize("space", ["l2", "ip", "cosine"])
+def test_distances_of_all_pairs_equal_those_of_the_expression(spark, sf, space):
+    b = queries.scaled(queries.base(spark, sf))
+    q = queries.query_set(b)
+    assert result(exact.distances(b, q, [space]).withColumnRenamed(space, "dist")) == result(exact.scored(b, q, space))
