@@ -62,3 +62,13 @@ def test_distances_of_all_pairs_equal_those_of_the_expression(spark, sf, space):
     b = queries.scaled(queries.base(spark, sf))
     q = queries.query_set(b)
     assert result(exact.distances(b, q, [space]).withColumnRenamed(space, "dist")) == result(exact.scored(b, q, space))
+
+
+def test_the_expression_path_ranks_few_pairs_and_keeps_the_result(spark, sf, monkeypatch):
+    monkeypatch.setattr(exact, "BOUND_ROWS", 60)
+    b = queries.scaled(queries.base(spark, sf))
+    q = queries.query_set(b)
+    pairs = exact.scored(b, q, "l2", dim=64)
+    assert result(pairs) == result(exact.scored(b, q, "l2"))
+    assert exact._scored_near(b, q, 10, SPACES["l2"], 64).count() < 0.7 * pairs.count()
+    assert result(exact.knn(b, q, 10, "l2", method="expression")) == result(exact.knn(b, q, 10, "l2"))
