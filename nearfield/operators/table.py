@@ -12,6 +12,7 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from nearfield.functions.space import SPACES, Space
 from nearfield.functions.storage import materialized
@@ -62,7 +63,9 @@ class VectorTable:
     def create(cls, spark: SparkSession, space: str, dim: int, payload: str = "", **options) -> VectorTable:
         """An empty table; ``payload`` are further columns as DDL, such as ``'doc_id bigint'``."""
         ddl = "vec_id bigint, embedding array<float>, deleted boolean" + (f", {payload}" if payload else "")
-        return cls(spark.createDataFrame([], ddl), Parameters(space, dim, **options))
+        # an empty relation that the optimiser knows to be one, so that a first insertion joins with nothing
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ddl)]
+        return cls(spark.range(0).where(F.lit(False)).select(*none), Parameters(space, dim, **options))
 
     @classmethod
     def from_rows(cls, df: DataFrame, space: str, dim: int, **options) -> VectorTable:
@@ -92,8 +95,8 @@ class VectorTable:
         ``knn`` then walks the graph with the table's ``ef``; inserts, updates,
         deletions, restorations, replacements and removals change the graph too.
         """
-        p = self.parameters
-        return self._with(graph=GraphIndex.build(self.rows, p.space, p.M, p.ef_construction, p.ef, p.random_seed, shard_rows, p.dim, probes))
+        p, rows = self.parameters, materialized(self.rows)  # read several times
+        return self._with(rows, GraphIndex.build(rows, p.space, p.M, p.ef_construction, p.ef, p.random_seed, shard_rows, p.dim, probes))
 
     def clone(self) -> VectorTable:
         return VectorTable(self.rows, self.parameters, self.path, self.graph)

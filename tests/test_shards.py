@@ -4,11 +4,13 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nearfield import queries
 from nearfield.functions.space import SPACES
 from nearfield.operators import exact
 from nearfield.operators import graph as g
+from nearfield.operators.table import VectorTable
 
 
 @pytest.mark.parametrize("name", ["l2", "ip"])
@@ -44,3 +46,17 @@ def test_a_radius_with_a_limit_takes_no_more_than_that_from_a_shard(spark, sf, m
         assert seen[-1].count() <= 2 * q.count() * shards
     found = queries._ranked(index.radius(q, 1.9, queries.WIDE, 2))
     assert sorted(found.collect()) == sorted(exact.radius(b, q, 1.9, 2).select(found.columns).collect())
+
+
+def test_a_search_that_may_be_short_walks_once(spark, sf):
+    b = queries.base(spark, sf)
+    found = queries._graph(b).knn(queries.query_set(b), 3, 50)
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().toString()
+
+
+def test_a_first_insertion_joins_with_nothing(spark, sf):
+    table = VectorTable.from_rows(queries.base(spark, sf).select("vec_id", "embedding", "label"), "l2", 64)
+    assert "Join" not in table.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert table.rows.dtypes == [("vec_id", "bigint"), ("embedding", "array<float>"), ("deleted", "boolean"), ("label", "int")]
+    assert VectorTable.create(spark, "l2", 64).count() == 0
+    assert table.rows.where(F.col("deleted")).count() == 0
